@@ -13,6 +13,7 @@ import heapq
 import json
 from collections import defaultdict
 from collections.abc import Sequence
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -130,7 +131,7 @@ def mix(docs: DataFrame, members: Column, weights: Sequence[float] = (3, 1, 2),
     empty or null array counts as the null source. source_size and target are those of the row's sources
     together (of its one source, where it has one). Rows are documents: repeated rows each count. Words
     are runs of other than white space; null text has none. Documents are whole: a source misses its
-    target by less than its best-fitting document. Rows of no words take 0. A table without words has
+    target by less than its smallest document of those left. Rows of no words take 0. A table without words has
     targets of 0. Columns named like the added ones are replaced.
     """
     spark, added = docs.sparkSession, ["size", "source_size", "target", "copies", "taken"]
@@ -170,12 +171,27 @@ def mix(docs: DataFrame, members: Column, weights: Sequence[float] = (3, 1, 2),
     order = Window.partitionBy("_p").orderBy("_ord", "_size").rowsBetween(Window.unboundedPreceding, 0)
     chosen = cell.withColumn("take", (F.sum("_size").over(order) <= F.col("left")).cast("int"))
     special = materialize(chosen.groupBy("_p", "_ord", "_size").agg(F.sum("take").alias("take")), "mix_cell")
-    # One more document, the one whose size fits best what is still missing.
+    # What is still missing goes to single documents behind the cut: of each class of sizes the largest that fits is
+    # looked at, and the smallest that doesn't, so a pattern sends a few dozen rows to the driver.
     used = special.groupBy("_p").agg(F.sum(F.col("take") * F.col("_size")).alias("used"))
     gap = bounds.join(used, "_p").select("_p", "c1", "c2", (F.col("left") - F.col("used")).alias("gap"))
-    later = slim.join(gap.filter("gap > 0"), "_p").filter("_b1 > c1 or (_b1 = c1 and _b2 >= c2)").join(special.filter("take > 0").select("_p", "_ord", "_size"), ["_p", "_ord", "_size"], "left_anti")
-    best = later.groupBy("_p", "gap").agg(F.min(F.struct(F.abs(F.col("_size") - F.col("gap")).alias("off"), F.col("_ord"), F.col("_size"))).alias("b"))
-    extra = best.filter("b.off < gap").select("_p", F.col("b._ord").alias("_ord"), F.col("b._size").alias("_size"), F.lit(1).cast("long").alias("more"))
+    later = slim.join(gap.filter("gap > 0"), "_p").filter("(_b1 > c1 or (_b1 = c1 and _b2 >= c2)) and _size > 0")
+    later = later.join(special.filter("take > 0").select("_p", "_ord", "_size"), ["_p", "_ord", "_size"], "left_anti")
+    fits = F.col("_size") <= F.col("gap")
+    kind = F.when(fits, F.least(F.floor(F.log2(F.col("gap") / F.col("_size")) * 4), F.lit(60))).otherwise(-1)
+    best = later.groupBy("_p", "gap", kind.alias("kind")).agg(F.min(F.struct(F.when(fits, -F.col("_size")).otherwise(F.col("_size")).alias("s"), F.col("_ord").alias("o"))).alias("b"))
+    fill = []
+    for p, found in groupby(sorted(best.collect(), key=lambda r: (r._p, r.b.s, r.b.o)), key=lambda r: r._p):
+        taken, over = [], []
+        for r in found:
+            if r.b.s > 0:  # the smallest that is too large; better alone where it comes nearer
+                over = [r]
+            elif sum(-x.b.s for x in taken) - r.b.s <= r.gap:
+                taken.append(r)
+        if over and over[0].b.s - over[0].gap < over[0].gap + sum(x.b.s for x in taken):
+            taken = over
+        fill += [(p, r.b.o, abs(r.b.s), 1) for r in taken]
+    extra = spark.createDataFrame(fill, "_p string, _ord long, _size long, more long")
     special = special.join(extra, ["_p", "_ord", "_size"], "full").select("_p", "_ord", "_size", (F.coalesce("take", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("take"))
     special = materialize(special, "mix_special")
 
@@ -184,7 +200,7 @@ def mix(docs: DataFrame, members: Column, weights: Sequence[float] = (3, 1, 2),
     before = F.coalesce(F.expr("_b1 < c1 or (_b1 = c1 and _b2 < c2)"), F.lit(False)).cast("int")
     plain = known.filter("take is null").withColumn("copies", F.col("full") + before)
     turn = F.row_number().over(Window.partitionBy("_p", "_ord", "_size").orderBy("doc_id"))
-    # A row of the cell, or the one that fills the gap; equal rows take turns. The latter lies behind the cut.
+    # Rows of the cell, and those that fill the gap; equal rows take turns.
     single = known.filter("take is not null").withColumn("copies", F.col("full") + (turn <= F.col("take")).cast("int"))
     both = plain.unionByName(single).withColumn("copies", F.when(F.col("_size") > 0, F.col("copies")).otherwise(0).cast("long"))
     return both.select(*keep, F.col("_size").alias("size"), "source_size", "target", "copies", (F.col("copies") * F.col("_size")).alias("taken"))
