@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import encode_decode_digests
 from .common import table
 from .exact_dedup import dedup_exact
 from .line_dedup import dedup_lines
 from .mixing import mix
+from .warc import read_records, write_archives
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,12 +24,28 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs, F.array("source")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode_decode_digests(docs, tokenizer_path()).drop("text")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_exact_dedup, op5_mixing, op7_line_dedup)}
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = write_archives(table(spark, sf_dir, "pages"))
+    return read_records(index, payload=False).drop("url")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_exact_dedup, op5_mixing, op6_bpe, op7_line_dedup, op9_warc)}
 
 _UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'"
 _WS = "(chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
@@ -45,4 +63,11 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, count(*) AS n_lines, count(h.key) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE h.key IS NULL), '')) AS kept_sha256
         FROM k LEFT JOIN h ON k.key = h.key GROUP BY doc_id""",
+    "op9_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS payload_bytes FROM pages),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+        SELECT page_id, payload_bytes, sha256(html) AS payload_digest,
+               CASE WHEN payload_bytes >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to
+        FROM f""",
 }
