@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_decode_digests
 from .common import table
+from .cover_tree import top_k
 from .exact_dedup import dedup_exact
 from .line_dedup import dedup_lines
 from .mixing import mix
@@ -40,12 +41,17 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), 5)
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = write_archives(table(spark, sf_dir, "pages"))
     return read_records(index, payload=False).drop("url")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_exact_dedup, op5_mixing, op6_bpe, op7_line_dedup, op9_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_exact_dedup, op5_mixing, op6_bpe, op7_line_dedup, op8_top_k, op9_warc)}
 
 _UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'"
 _WS = "(chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
@@ -63,6 +69,13 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, count(*) AS n_lines, count(h.key) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE h.key IS NULL), '')) AS kept_sha256
         FROM k LEFT JOIN h ON k.key = h.key GROUP BY doc_id""",
+    "op8_top_k": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, d.vec_id, list_inner_product(q.e, d.e)::BIGINT AS score
+              FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5""",
     "op9_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS payload_bytes FROM pages),
         f AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM p)
