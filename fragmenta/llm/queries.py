@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import quality, toxicity
 from .bpe import encode_decode_digests
-from .common import table
+from .common import held_out, table
 from .cover_tree import top_k
 from .exact_dedup import dedup_exact
 from .line_dedup import dedup_lines
@@ -16,6 +17,17 @@ from .mixing import mix
 from .warc import read_records, write_archives
 
 
+def _judged(spark: SparkSession, sf_dir: str, kind, label: str, folds: int, fold: int, **more) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    out = held_out(F.col("doc_id"), folds, fold)
+    scored = kind.score(docs, kind.fit(docs, labels, label, out), **more)
+    return scored.select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(spark, sf_dir, quality, "quality", 5, 0)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_exact(table(spark, sf_dir, "documents"))
 
@@ -51,7 +63,11 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_records(index, payload=False).drop("url")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_exact_dedup, op5_mixing, op6_bpe, op7_line_dedup, op8_top_k, op9_warc)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(spark, sf_dir, toxicity, "toxic", 4, 2, spans=False)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_quality, op4_exact_dedup, op5_mixing, op6_bpe, op7_line_dedup, op8_top_k, op9_warc, op10_toxicity)}
 
 _UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'"
 _WS = "(chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
