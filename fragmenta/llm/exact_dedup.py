@@ -10,15 +10,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WS_CLASS, materialize
+from .common import WS_BYTES, materialize
 
 #: Chunks have at least 256 and at most 4096 code points, but for a text's last.
 LEAST, MOST = 256, 4096
 
 
 def _letters(rest: int) -> str:
-    """A class of the code points below U+0250, without white space, that leave this rest modulo 8."""
-    return "[" + "".join(f"\\x{{{c:x}}}" for c in range(0x21, 0x250) if c % 8 == rest) + "]"
+    """A class of the code points below U+0100, without white space, that leave this rest modulo 8.
+
+    Java tests these with one look into a bitmap; a text of others alone is cut at the greatest length.
+    """
+    return "[" + "".join(f"\\x{{{c:x}}}" for c in range(0x21, 0x100) if c % 8 == rest) + "]"
 
 
 def chunk_pattern(least: int = LEAST, most: int = MOST) -> str:
@@ -41,7 +44,9 @@ def dedup_exact(docs: DataFrame, least: int = LEAST, most: int = MOST, bits: int
     with the most code points in its original text stays, then the smallest doc_id (null last); of rows
     repeated in all of this, one. keep_id is null where that row has no id. Other columns are not read.
     """
-    norm = F.regexp_replace(F.coalesce("text", F.lit("")), WS_CLASS, "")
+    norm = F.coalesce("text", F.lit(""))
+    for blank in WS_BYTES.decode():
+        norm = F.replace(norm, F.lit(blank))
     texts = docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("points"), norm.alias("norm"))
     cut = F.regexp_extract_all("norm", F.lit(chunk_pattern(least, most)), F.lit(0))
     chunked = texts.withColumn("chunks", F.when(F.col("norm") == "", F.array().cast("array<string>")).otherwise(cut))

@@ -15,6 +15,7 @@ from .exact_dedup import dedup_exact
 from .line_dedup import dedup_lines
 from .minhash_dedup import near_duplicates
 from .mixing import mix
+from .substring_dedup import repeated_passages
 from .warc import read_records, write_archives
 
 
@@ -25,6 +26,10 @@ def _judged(spark: SparkSession, sf_dir: str, kind, label: str, folds: int, fold
     return scored.select("doc_id", out.alias("held_out"), "score", "predicted")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -72,7 +77,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(spark, sf_dir, toxicity, "toxic", 4, 2, spans=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_minhash, op3_quality, op4_exact_dedup, op5_mixing, op6_bpe, op7_line_dedup, op8_top_k, op9_warc, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_minhash, op3_quality, op4_exact_dedup, op5_mixing, op6_bpe, op7_line_dedup, op8_top_k, op9_warc, op10_toxicity)}
 
 _UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'"
 _WS = "(chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
