@@ -51,19 +51,20 @@ def dedup_exact(docs: DataFrame, least: int = LEAST, most: int = MOST, bits: int
     cut = F.regexp_extract_all("norm", F.lit(chunk_pattern(least, most)), F.lit(0))
     chunked = texts.withColumn("chunks", F.when(F.col("norm") == "", F.array().cast("array<string>")).otherwise(cut))
 
-    # Verified identifiers: all contents of a hash meet here, each moved once; rank tells them apart.
+    # Verified identifiers: all contents of a hash meet here, each moved once, and different ones are counted.
     contents = chunked.select(F.explode("chunks").alias("chunk")).groupBy(chunk_id(F.col("chunk"), bits).alias("id"), "chunk").agg(F.count("*").alias("n"))
-    clash = contents.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("chunk")) - 1).filter("rank > 0")
-    clash = materialize(clash.select("id", "chunk", "rank"), "chunk_clashes")
+    clash = materialize(contents.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id"), "chunk_clashes")
 
     rows = chunked.withColumns({"row": F.monotonically_increasing_id(), "sha": F.sha2("norm", 256)}).drop("norm")
     if clash.isEmpty():
         recipe = F.transform("chunks", lambda c: F.struct(chunk_id(c, bits).alias("id"), F.lit(0).alias("rank")))
         rows = rows.withColumn("recipe", recipe).drop("chunks")
     else:
+        # Different chunks of one hash: a rank by content tells them apart.
         rows = materialize(rows, "chunked")
+        ranks = contents.join(clash, "id").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("chunk")) - 1).select("id", "chunk", "rank")
         parts = rows.select("row", F.posexplode("chunks").alias("pos", "chunk")).withColumn("id", chunk_id(F.col("chunk"), bits))
-        parts = parts.join(clash, ["id", "chunk"], "left").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("pos", F.struct("id", F.coalesce("rank", F.lit(0)).alias("rank")).alias("x")))).alias("xs"))
+        parts = parts.join(ranks, ["id", "chunk"], "left").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("pos", F.struct("id", F.coalesce("rank", F.lit(0)).alias("rank")).alias("x")))).alias("xs"))
         none = F.array().cast("array<struct<id:struct<a:bigint,b:int>,rank:int>>")
         rows = rows.drop("chunks").join(parts.select("row", F.col("xs.x").alias("recipe")), "row", "left").withColumn("recipe", F.coalesce("recipe", none))
     rows = materialize(rows, "recipes")
