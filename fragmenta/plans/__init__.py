@@ -1 +1,5 @@
 """Queries over the driver's tables, with the SQL they must agree with."""
+
+from . import cluster, text
+
+MODULES = (text, cluster)
