@@ -66,14 +66,8 @@ def layer_column(i: Column, n: int, levels: int) -> Column:
     return out
 
 
-def forward_column(values: Column, n: int, levels: int) -> Column:
-    """The 1-D transform in double precision, over an array of n values."""
-    root = F.lit(float(np.sqrt(2.0)))
-    coarse, details = values, []
-    for _ in range(levels):
-        n //= 2
-        pairs = F.sequence(F.lit(0), F.lit(n - 1))
-        at = lambda i, c=coarse: (F.get(c, 2 * i), F.get(c, 2 * i + 1))
-        details.append(F.transform(pairs, lambda i: (at(i)[0] - at(i)[1]) / root))
-        coarse = F.transform(pairs, lambda i: (at(i)[0] + at(i)[1]) / root)
-    return F.concat(coarse, *reversed(details))
+def step_columns(values: Column, n: int) -> tuple[Column, Column]:
+    """Means and details of the neighbours among n values of an array, in double precision."""
+    root, pairs = F.lit(float(np.sqrt(2.0))), F.sequence(F.lit(0), F.lit(n // 2 - 1))
+    a, b = lambda i: F.get(values, 2 * i), lambda i: F.get(values, 2 * i + 1)
+    return F.transform(pairs, lambda i: (a(i) + b(i)) / root), F.transform(pairs, lambda i: (a(i) - b(i)) / root)

@@ -1,5 +1,5 @@
 """Queries over the driver's tables, with the SQL they must agree with."""
 
-from . import cluster, text
+from . import catalog, cluster, coding, signals, text
 
-MODULES = (text, cluster)
+MODULES = (text, cluster, signals, coding, catalog)
