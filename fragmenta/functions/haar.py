@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROOT = np.float32(np.sqrt(2.0))
 
@@ -66,8 +68,21 @@ def layer_column(i: Column, n: int, levels: int) -> Column:
     return out
 
 
-def step_columns(values: Column, n: int) -> tuple[Column, Column]:
-    """Means and details of the neighbours among n values of an array, in double precision."""
-    root, pairs = F.lit(float(np.sqrt(2.0))), F.sequence(F.lit(0), F.lit(n // 2 - 1))
-    a, b = lambda i: F.get(values, 2 * i), lambda i: F.get(values, 2 * i + 1)
-    return F.transform(pairs, lambda i: (a(i) + b(i)) / root), F.transform(pairs, lambda i: (a(i) - b(i)) / root)
+def forward_array(n: int, levels: int):
+    """A function of columns: the 1-D transform of the first n values of an array, in double precision.
+
+    Vectorised over the batch; as nested array expressions each level would hold the one below four times.
+    """
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def run(values: pd.Series) -> pd.Series:
+        if not len(values):
+            return values
+        x = np.stack([np.asarray(v, np.float64)[:n] for v in values])
+        for level in range(levels):
+            a, b = x[:, 0 : n >> level : 2].copy(), x[:, 1 : n >> level : 2].copy()
+            half = n >> (level + 1)
+            x[:, :half], x[:, half : 2 * half] = (a + b) / np.sqrt(2.0), (a - b) / np.sqrt(2.0)
+        return pd.Series(list(x))
+
+    return run

@@ -10,17 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import haar
 from ..schema import K, LEVELS, NLAYERS, REDUNDANCY
 
-_ARRAY = "array<double>"
-
 
 def transformed(signals: DataFrame, n: int, levels: int = LEVELS) -> DataFrame:
     """signals (id, values) with coeffs, the 1-D transform of their first n values."""
-    out, details = signals.withColumn("_mean", F.slice(F.col("values").cast(_ARRAY), 1, n)), []
-    for level in range(levels):  # a column a step, so that no expression holds another twice
-        mean, detail = haar.step_columns(F.col("_mean"), n >> level)
-        details.insert(0, f"_detail_{level}")
-        out = out.withColumns({"_mean": mean, details[0]: detail})
-    return out.withColumn("coeffs", F.concat("_mean", *details)).drop("_mean", *details)
+    return signals.withColumn("coeffs", haar.forward_array(n, levels)(F.col("values").cast("array<double>")))
 
 
 def coefficients(signals: DataFrame, n: int, levels: int = LEVELS) -> DataFrame:
