@@ -51,13 +51,13 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> Data
     so do rows without one. Keys of fewer than min_chars code points are never dropped. A text all of
     whose lines go is ''. An empty table gives an empty table.
     """
-    clash = {"n_lines", "n_dropped", "_hot"} & set(docs.columns)
+    clash = {"n_lines", "n_dropped", "__hot"} & set(docs.columns)
     docs = docs.drop(*clash)
     pairs = materialize(line_keys(docs, min_chars), "line_keys")
     holders = pairs.groupBy("key", "doc_id").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("*").alias("n"))
     hot = materialize(holders.filter(F.col("n") >= min_docs).select("key"), "hot_lines")
-    by_doc = pairs.join(hot, "key").groupBy("doc_id").agg(F.collect_set("key").alias("_hot")).withColumnRenamed("doc_id", "_id")
-    joined = docs.join(by_doc, docs.doc_id.eqNullSafe(by_doc._id), "left").drop("_id")
+    by_doc = pairs.join(hot, "key").groupBy("doc_id").agg(F.collect_set("key").alias("__hot")).withColumnRenamed("doc_id", "__id")
+    joined = docs.join(by_doc, docs.doc_id.eqNullSafe(by_doc['__id']), "left").drop("__id")
     names, at = docs.columns, docs.columns.index("text")
 
     def kept(batches):
@@ -81,7 +81,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> Data
 
     fields = [T.StructField(f.name, f.dataType) for f in docs.schema]
     schema = T.StructType([*fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    return joined.select(*names, "_hot").mapInArrow(kept, schema)
+    return joined.select(*names, "__hot").mapInArrow(kept, schema)
 
 
 def digest(docs: DataFrame, text: str = "text", name: str = "kept_sha256") -> Column:

@@ -136,12 +136,12 @@ def mix(docs: DataFrame, members: Column, weights: Sequence[float] = (3, 1, 2),
     """
     spark, added = docs.sparkSession, ["size", "source_size", "target", "copies", "taken"]
     own = F.when(F.size(members) > 0, F.array_sort(F.array_distinct(members))).otherwise(F.array(F.lit(None).cast("string")))
-    docs = docs.withColumns({"_own": own, "_size": n_words(F.col("text"))}).drop(*added)
+    docs = docs.withColumns({"__own": own, "__size": n_words(F.col("text"))}).drop(*added)
     # The text is part of the order, so that rows without an id spread too.
-    docs = docs.withColumns({"_p": F.to_json("_own"), "_ord": F.xxhash64(F.lit(seed), "doc_id", "text")}).drop("_own")
-    docs = docs.withColumns({"_b1": F.shiftrightunsigned("_ord", 52).cast("int"), "_b2": (F.shiftrightunsigned("_ord", 40) % 4096).cast("int")})
-    slim = materialize(docs.select("doc_id", "_p", "_size", "_ord", "_b1", "_b2"), "mix_sizes")
-    capacity = {r._p: int(r.n) for r in slim.groupBy("_p").agg(F.sum("_size").alias("n")).limit(MOST_PATTERNS + 1).collect()}
+    docs = docs.withColumns({"__p": F.to_json("__own"), "__ord": F.xxhash64(F.lit(seed), "doc_id", "text")}).drop("__own")
+    docs = docs.withColumns({"__b1": F.shiftrightunsigned("__ord", 52).cast("int"), "__b2": (F.shiftrightunsigned("__ord", 40) % 4096).cast("int")})
+    slim = materialize(docs.select("doc_id", "__p", "__size", "__ord", "__b1", "__b2"), "mix_sizes")
+    capacity = {r["__p"]: int(r.n) for r in slim.groupBy("__p").agg(F.sum("__size").alias("n")).limit(MOST_PATTERNS + 1).collect()}
     if len(capacity) > MOST_PATTERNS:
         raise ValueError(f"more than {MOST_PATTERNS} patterns of sources")
     belongs = {p: json.loads(p) for p in capacity}
@@ -156,32 +156,32 @@ def mix(docs: DataFrame, members: Column, weights: Sequence[float] = (3, 1, 2),
         words = min(sum(flow[p].values()), copies * n)
         full = words // n if n else 0
         rows.append((p, int(full), int(words - full * n), sum(sizes[s] for s in belongs[p]), float(sum(target[s] for s in belongs[p]))))
-    plan = materialize(spark.createDataFrame(rows, "_p string, full int, rest long, source_size long, target double"), "mix_plan")
+    plan = materialize(spark.createDataFrame(rows, "__p string, full int, rest long, source_size long, target double"), "mix_plan")
 
     def cut(rows: DataFrame, bucket: str, name: str) -> DataFrame:
         """The bucket in which each pattern's rest ends, and what is left of it there."""
-        sums = rows.groupBy("_p", "rest", bucket).agg(F.sum("_size").alias("n"))
-        sums = sums.withColumn("upto", F.sum("n").over(Window.partitionBy("_p").orderBy(bucket)))
-        return sums.filter("upto - n <= rest and upto > rest").select("_p", F.col(bucket).alias(name), (F.col("rest") - F.col("upto") + F.col("n")).alias("left"))
-
-    first = cut(slim.join(plan.select("_p", "rest"), "_p"), "_b1", "c1")
-    inside = slim.join(first, "_p").filter("_b1 = c1").select("*", F.col("left").alias("rest")).drop("left")
-    bounds = materialize(first.drop("left").join(cut(inside, "_b2", "c2"), "_p"), "mix_bounds")
-    cell = slim.join(bounds, "_p").filter("_b1 = c1 and _b2 = c2")
-    order = Window.partitionBy("_p").orderBy("_ord", "_size").rowsBetween(Window.unboundedPreceding, 0)
-    chosen = cell.withColumn("take", (F.sum("_size").over(order) <= F.col("left")).cast("int"))
-    special = materialize(chosen.groupBy("_p", "_ord", "_size").agg(F.sum("take").alias("take")), "mix_cell")
+        sums = rows.groupBy("__p", "rest", bucket).agg(F.sum("__size").alias("n"))
+        sums = sums.withColumn("upto", F.sum("n").over(Window.partitionBy("__p").orderBy(bucket)))
+        return sums.filter("upto - n <= rest and upto > rest").select("__p", F.col(bucket).alias(name), (F.col("rest") - F.col("upto") + F.col("n")).alias("left"))
+
+    first = cut(slim.join(plan.select("__p", "rest"), "__p"), "__b1", "c1")
+    inside = slim.join(first, "__p").filter("__b1 = c1").select("*", F.col("left").alias("rest")).drop("left")
+    bounds = materialize(first.drop("left").join(cut(inside, "__b2", "c2"), "__p"), "mix_bounds")
+    cell = slim.join(bounds, "__p").filter("__b1 = c1 and __b2 = c2")
+    order = Window.partitionBy("__p").orderBy("__ord", "__size").rowsBetween(Window.unboundedPreceding, 0)
+    chosen = cell.withColumn("take", (F.sum("__size").over(order) <= F.col("left")).cast("int"))
+    special = materialize(chosen.groupBy("__p", "__ord", "__size").agg(F.sum("take").alias("take")), "mix_cell")
     # What is still missing goes to single documents behind the cut: of each class of sizes the largest that fits is
     # looked at, and the smallest that doesn't, so a pattern sends a few dozen rows to the driver.
-    used = special.groupBy("_p").agg(F.sum(F.col("take") * F.col("_size")).alias("used"))
-    gap = bounds.join(used, "_p").select("_p", "c1", "c2", (F.col("left") - F.col("used")).alias("gap"))
-    later = slim.join(gap.filter("gap > 0"), "_p").filter("(_b1 > c1 or (_b1 = c1 and _b2 >= c2)) and _size > 0")
-    later = later.join(special.filter("take > 0").select("_p", "_ord", "_size"), ["_p", "_ord", "_size"], "left_anti")
-    fits = F.col("_size") <= F.col("gap")
-    kind = F.when(fits, F.least(F.floor(F.log2(F.col("gap") / F.col("_size")) * 4), F.lit(60))).otherwise(-1)
-    best = later.groupBy("_p", "gap", kind.alias("kind")).agg(F.min(F.struct(F.when(fits, -F.col("_size")).otherwise(F.col("_size")).alias("s"), F.col("_ord").alias("o"))).alias("b"))
+    used = special.groupBy("__p").agg(F.sum(F.col("take") * F.col("__size")).alias("used"))
+    gap = bounds.join(used, "__p").select("__p", "c1", "c2", (F.col("left") - F.col("used")).alias("gap"))
+    later = slim.join(gap.filter("gap > 0"), "__p").filter("(__b1 > c1 or (__b1 = c1 and __b2 >= c2)) and __size > 0")
+    later = later.join(special.filter("take > 0").select("__p", "__ord", "__size"), ["__p", "__ord", "__size"], "left_anti")
+    fits = F.col("__size") <= F.col("gap")
+    kind = F.when(fits, F.least(F.floor(F.log2(F.col("gap") / F.col("__size")) * 4), F.lit(60))).otherwise(-1)
+    best = later.groupBy("__p", "gap", kind.alias("kind")).agg(F.min(F.struct(F.when(fits, -F.col("__size")).otherwise(F.col("__size")).alias("s"), F.col("__ord").alias("o"))).alias("b"))
     fill = []
-    for p, found in groupby(sorted(best.collect(), key=lambda r: (r._p, r.b.s, r.b.o)), key=lambda r: r._p):
+    for p, found in groupby(sorted(best.collect(), key=lambda r: (r["__p"], r.b.s, r.b.o)), key=lambda r: r["__p"]):
         taken, over = [], []
         for r in found:
             if r.b.s > 0:  # the smallest that is too large; better alone where it comes nearer
@@ -191,16 +191,17 @@ def mix(docs: DataFrame, members: Column, weights: Sequence[float] = (3, 1, 2),
         if over and over[0].b.s - over[0].gap < over[0].gap + sum(x.b.s for x in taken):
             taken = over
         fill += [(p, r.b.o, abs(r.b.s), 1) for r in taken]
-    extra = spark.createDataFrame(fill, "_p string, _ord long, _size long, more long")
-    special = special.join(extra, ["_p", "_ord", "_size"], "full").select("_p", "_ord", "_size", (F.coalesce("take", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("take"))
+    extra = spark.createDataFrame(fill, "__p string, __ord long, __size long, more long")
+    special = special.join(extra, ["__p", "__ord", "__size"], "full").select("__p", "__ord", "__size", (F.coalesce("take", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("take"))
     special = materialize(special, "mix_special")
 
-    keep = [c for c in docs.columns if c not in ("_p", "_ord", "_size", "_b1", "_b2")]
-    known = docs.join(plan, "_p").join(bounds.drop("left"), "_p", "left").join(special, ["_p", "_ord", "_size"], "left")
-    before = F.coalesce(F.expr("_b1 < c1 or (_b1 = c1 and _b2 < c2)"), F.lit(False)).cast("int")
-    plain = known.filter("take is null").withColumn("copies", F.col("full") + before)
-    turn = F.row_number().over(Window.partitionBy("_p", "_ord", "_size").orderBy("doc_id"))
+    keep = [c for c in docs.columns if c not in ("__p", "__ord", "__size", "__b1", "__b2")]
+    plan, bounds = plan.drop("rest").withColumnRenamed("full", "__full"), bounds.drop("left").withColumnsRenamed({"c1": "__c1", "c2": "__c2"})
+    known = docs.join(plan, "__p").join(bounds, "__p", "left").join(special.withColumnRenamed("take", "__take"), ["__p", "__ord", "__size"], "left")
+    before = F.coalesce(F.expr("__b1 < __c1 or (__b1 = __c1 and __b2 < __c2)"), F.lit(False)).cast("int")
+    plain = known.filter("__take is null").withColumn("copies", F.col("__full") + before)
+    turn = F.row_number().over(Window.partitionBy("__p", "__ord", "__size").orderBy("doc_id"))
     # Rows of the cell, and those that fill the gap; equal rows take turns.
-    single = known.filter("take is not null").withColumn("copies", F.col("full") + (turn <= F.col("take")).cast("int"))
-    both = plain.unionByName(single).withColumn("copies", F.when(F.col("_size") > 0, F.col("copies")).otherwise(0).cast("long"))
-    return both.select(*keep, F.col("_size").alias("size"), "source_size", "target", "copies", (F.col("copies") * F.col("_size")).alias("taken"))
+    single = known.filter("__take is not null").withColumn("copies", F.col("__full") + (turn <= F.col("__take")).cast("int"))
+    both = plain.unionByName(single).withColumn("copies", F.when(F.col("__size") > 0, F.col("copies")).otherwise(0).cast("long"))
+    return both.select(*keep, F.col("__size").alias("size"), "source_size", "target", "copies", (F.col("copies") * F.col("__size")).alias("taken"))
