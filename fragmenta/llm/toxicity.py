@@ -127,7 +127,9 @@ def train_field(sequences: list[tuple[list[str], list[int]]], rounds: int = 40)
         w += step[: other + 2]
         between = between + step[other + 2 : -1].reshape(2, 2)
         first += step[-1]
-    return Field({x: float(w[i]) for x, i in place.items()}, float(w[other]), between, float(first))
+    # A word that training hardly knows is no more suspect than the median word.
+    unknown = min([float(w[other]), *([float(np.median(w[:other]))] if other else [])])
+    return Field({x: float(w[i]) for x, i in place.items()}, unknown, between, float(first))
 
 
 @dataclass
