@@ -124,6 +124,20 @@ def _route_part(part, capacity, members, quota, copies, out) -> None:
         out[p][s] = cap[e ^ 1]
 
 
+def nearest_sum(sizes: list[tuple[int, int]], goal: int, most: int = 4000) -> list[tuple[int, int]]:
+    """Those of (size, key) whose sizes add up to about goal; of many sums every few are followed."""
+    sums: dict[int, tuple] = {0: ()}
+    for s in sizes:
+        for total, chosen in list(sums.items()):
+            if total + s[0] <= 2 * goal:
+                sums.setdefault(total + s[0], (*chosen, s))
+        if len(sums) > most:
+            near = sorted(sums, key=lambda x: (abs(x - goal), x))[: most // 4]
+            kept = {*near, *sorted(sums)[:: max(1, len(sums) * 4 // (3 * most))], 0}
+            sums = {x: sums[x] for x in sorted(kept)}
+    return list(sums[min(sums, key=lambda x: (abs(x - goal), x))])
+
+
 def mix(docs: DataFrame, members: Column, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, copies: int = 2, seed: int = 17) -> DataFrame:
     """docs with size, source_size, target, copies (0, 1, .. `copies`) and taken = copies * size added.
 
@@ -171,26 +185,19 @@ def mix(docs: DataFrame, members: Column, weights: Sequence[float] = (3, 1, 2),
     order = Window.partitionBy("__p").orderBy("__ord", "__size").rowsBetween(Window.unboundedPreceding, 0)
     chosen = cell.withColumn("take", (F.sum("__size").over(order) <= F.col("left")).cast("int"))
     special = materialize(chosen.groupBy("__p", "__ord", "__size").agg(F.sum("take").alias("take")), "mix_cell")
-    # What is still missing goes to single documents behind the cut: of each class of sizes the largest that fits is
-    # looked at, and the smallest that doesn't, so a pattern sends a few dozen rows to the driver.
+    # What is still missing goes to single documents behind the cut: the largest and smallest of each class of sizes are
+    # looked at, so a pattern sends a few dozen rows to the driver.
     used = special.groupBy("__p").agg(F.sum(F.col("take") * F.col("__size")).alias("used"))
     gap = bounds.join(used, "__p").select("__p", "c1", "c2", (F.col("left") - F.col("used")).alias("gap"))
     later = slim.join(gap.filter("gap > 0"), "__p").filter("(__b1 > c1 or (__b1 = c1 and __b2 >= c2)) and __size > 0")
     later = later.join(special.filter("take > 0").select("__p", "__ord", "__size"), ["__p", "__ord", "__size"], "left_anti")
-    fits = F.col("__size") <= F.col("gap")
-    kind = F.when(fits, F.least(F.floor(F.log2(F.col("gap") / F.col("__size")) * 4), F.lit(60))).otherwise(-1)
-    best = later.groupBy("__p", "gap", kind.alias("kind")).agg(F.min(F.struct(F.when(fits, -F.col("__size")).otherwise(F.col("__size")).alias("s"), F.col("__ord").alias("o"))).alias("b"))
+    kind = F.greatest(F.lit(-8), F.least(F.lit(60), F.floor(F.log2(F.col("gap") / F.col("__size")) * 4)))
+    one = F.struct(F.col("__size").alias("s"), F.col("__ord").alias("o"))
+    ends = later.filter("__size <= 2 * gap").groupBy("__p", "gap", kind.alias("kind")).agg(F.min(one).alias("lo"), F.max(one).alias("hi"))
     fill = []
-    for p, found in groupby(sorted(best.collect(), key=lambda r: (r["__p"], r.b.s, r.b.o)), key=lambda r: r["__p"]):
-        taken, over = [], []
-        for r in found:
-            if r.b.s > 0:  # the smallest that is too large; better alone where it comes nearer
-                over = [r]
-            elif sum(-x.b.s for x in taken) - r.b.s <= r.gap:
-                taken.append(r)
-        if over and over[0].b.s - over[0].gap < over[0].gap + sum(x.b.s for x in taken):
-            taken = over
-        fill += [(p, r.b.o, abs(r.b.s), 1) for r in taken]
+    for r, found in groupby(sorted(ends.collect(), key=lambda r: (r["__p"], r.kind)), key=lambda r: (r["__p"], r.gap)):
+        sizes = sorted({(x.s, x.o) for f in found for x in (f.lo, f.hi)}, reverse=True)
+        fill += [(r[0], o, s, 1) for s, o in nearest_sum(sizes, r[1])]
     extra = spark.createDataFrame(fill, "__p string, __ord long, __size long, more long")
     special = special.join(extra, ["__p", "__ord", "__size"], "full").select("__p", "__ord", "__size", (F.coalesce("take", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("take"))
     special = materialize(special, "mix_special")
