@@ -34,7 +34,7 @@ def _own_dir() -> str:
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder of spark.checkpoint.dir; a temporary one where that is unset (local tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and spark.sparkContext.master.startswith("local["):
+    if not found and (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
         found = _own_dir()
     if not found:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
