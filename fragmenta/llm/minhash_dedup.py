@@ -23,8 +23,8 @@ from .shingles import run_hashes, word_hashes
 #: Size of a sketch, and the share of it that two documents must agree on to be compared. At a similarity of 0.85 fewer
 #: agree in less than one of 10^5 pairs, at 0.8 in one of 3,000.
 SKETCH, AGREE = 32, 0.53
-#: Members of a hub in a block.
-BLOCK = 256
+#: Members of a hub in a block; marks of texts that are broadcast at most.
+BLOCK, MOST_SENT = 256, 500_000
 
 _SETS = "doc_id long, mark long, n_shingles long, sig binary, shingles array<long>"
 
@@ -94,7 +94,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, k: int =
 
     near = materialize(near.select("hub", "sig", "sketch", "hub_sketch").mapInArrow(estimated, "hub binary, sig binary"), "estimated")
     wanted = members.select("sig").union(members.select("hub")).distinct().join(nodes.select("sig", "mark", "node", "n"), "sig")
-    marked = docs.withColumn("_mark", F.xxhash64("text")).join(wanted.select(F.col("mark").alias("_mark")).distinct(), "_mark", "left_semi")
+    marks = materialize(wanted.select(F.col("mark").alias("_mark")).distinct(), "marks")
+    # Eight bytes each: up to this many are sent to all executors, so that texts stay where they are; more are joined.
+    marks = F.broadcast(marks) if marks.count() <= MOST_SENT else marks
+    marked = docs.withColumn("_mark", F.xxhash64("text")).join(marks, "_mark", "left_semi")
     sets = shingle_sets(marked, words, None).filter("doc_id is not null").select("sig", "shingles").join(wanted.select("sig", "mark"), "sig").dropDuplicates(["sig"]).drop("mark")
     sets = materialize(sets, "full_sets")
 
