@@ -93,6 +93,21 @@ def test_passages_edges(edge, empty):
     assert substring_dedup.repeated_passages(empty).count() == 0
 
 
+def test_passages_of_a_large_group(spark):
+    """Many documents share 30 words, too few alone; two of them, far from first and last, share 60."""
+    rng = np.random.default_rng(12)
+    fresh = lambda n: [f"t{x}" for x in rng.integers(0, 10**9, n)]
+    common, more, texts = fresh(44), [fresh(16) for _ in range(6)], {}
+    for i in range(300):
+        texts[i] = [*fresh(15), *common, *fresh(40)]
+    for k, tail in enumerate(more):
+        texts[100 + k] = [*fresh(15), *common, *tail, *fresh(20)]
+        texts[200 + k] = [*fresh(15), *common, *tail, *fresh(20)]
+    found = substring_dedup.repeated_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")).toPandas()
+    got = set(zip(found["doc_id"], found["match_doc_id"]))
+    assert {(100 + k, 200 + k) for k in range(6)} <= got
+
+
 # 2. Near-duplicates
 
 
