@@ -93,6 +93,46 @@ def test_passages_edges(edge, empty):
     assert substring_dedup.repeated_passages(empty).count() == 0
 
 
+def root(parent, i):
+    return i if parent[i] == i else root(parent, parent[i])
+
+
+def passages_by_brute(texts, n=50, least=0.8):
+    """Documents of which some n words are near enough to n words of another document, and the components of such pairs."""
+    sets = {i: [set(h[k : k + n - 4].tolist()) for k in range(len(h) - n + 5)] for i, t in texts.items() for h in [shingles.run_hashes(shingles.word_hashes([t])[0], 5)]}
+    parent, near = {i: i for i in sets}, set()
+    for a in sets:
+        for b in sets:
+            if a < b and any(len(x & y) >= least * len(x | y) for x in sets[a] for y in sets[b]):
+                near |= {a, b}
+                x, y = root(parent, a), root(parent, b)
+                parent[max(x, y)] = min(x, y)
+    return near, parent
+
+
+def edited_chain(rng, n, ids):
+    """Documents of one passage between fresh words; each has one word more replaced than the one before."""
+    fresh = lambda n: [f"t{x}" for x in rng.integers(0, 10**9, n)]
+    passage, out = fresh(n), {}
+    for i in ids:
+        out[i] = " ".join([*fresh(20), *passage, *fresh(20)])
+        passage = passage.copy()
+        passage[int(rng.integers(0, n))] = fresh(1)[0]
+    return out
+
+
+def test_passages_chains(spark):
+    """Each document is near its neighbours of the chain alone, or so; hubs of the values are the ends."""
+    rng, texts = np.random.default_rng(11), {}
+    for k, size in enumerate((4, 6, 9, 14, 30)):
+        ids = [1000 * (k + 1) + int(x) for x in rng.permutation(size)]
+        texts |= edited_chain(rng, 70, ids)
+    found = substring_dedup.repeated_passages(spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")).toPandas()
+    near, parent = passages_by_brute(texts)
+    got = dict(zip(found["doc_id"], found["component_id"]))
+    assert near <= set(got) and {i: root(parent, i) for i in near} == {i: int(got[i]) for i in near}
+
+
 def test_passages_of_a_large_group(spark):
     """Many documents share 30 words, too few alone; two of them, far from first and last, share 60."""
     rng = np.random.default_rng(12)
