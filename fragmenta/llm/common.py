@@ -48,23 +48,37 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):
+        if path.startswith("file:"):
+            shutil.rmtree(path.removeprefix("file:").replace("//", "/", 1), ignore_errors=True)
+        else:
+            jvm = spark.sparkContext._jvm
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 @atexit.register
 def _clean() -> None:
-    for spark, path in _made:
-        with contextlib.suppress(Exception):
-            if path.startswith("file:"):
-                shutil.rmtree(path.removeprefix("file:").replace("//", "/", 1), ignore_errors=True)
-            else:
-                jvm = spark.sparkContext._jvm
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    for entry in _made:
+        _delete(*entry)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts the lineage, and survives lost executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path.rpartition("/")[0]
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Deletes materialized tables that nothing reads any more."""
+    for df in tables:
+        for entry in [x for x in _made if x[1] == getattr(df, "_written", None)]:
+            _delete(*entry)
+            _made.remove(entry)
 
 
 def n_words(text: Column) -> Column:

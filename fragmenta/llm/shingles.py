@@ -44,14 +44,18 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     A word's hash is a sum over its bytes, by place, of random numbers times powers of a factor, mixed.
     Bytes that aren't ASCII stay as they are.
     """
-    raw = [(x or "").encode().lower() for x in texts]
+    return word_hashes_of([(x or "").encode().lower() for x in texts])
+
+
+def word_hashes_of(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """As word_hashes, of UTF-8 whose A-Z are in lower case already."""
     data = np.frombuffer(b" " + b" ".join(raw) + b" ", np.uint8)
     blank, letter = _tables()
     space = blank[data]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     begin, end = edge[::2], edge[1::2]
     if not len(begin):
-        return np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+        return np.empty(0, np.uint64), np.zeros(len(raw) + 1, np.int64)
     inside = ~space
     # Each byte's place in its word, counted over the words alone.
     size = end - begin
