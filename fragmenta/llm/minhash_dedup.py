@@ -23,17 +23,37 @@ from .shingles import run_hashes, word_hashes
 #: Size of a sketch, and the share of it that two documents must agree on to be compared. At a similarity of 0.85 fewer
 #: agree in less than one of 10^5 pairs, at 0.8 in one of 3,000.
 SKETCH, AGREE = 32, 0.53
-#: Members of a hub in a block; marks of texts that are broadcast at most.
-BLOCK, MOST_SENT = 256, 500_000
+#: Members of a hub in a block; bits of the filter that keeps rows from being read in full, and of one of its parts.
+BLOCK, FILTER, PART = 256, 26, 16
 
 _SETS = "doc_id long, mark long, n_shingles long, sig binary, shingles array<long>"
 
 
-def shingle_sets(docs: DataFrame, words: int, most: int | None) -> DataFrame:
-    """(doc_id, mark, n_shingles, sig, shingles): sorted hashes of each row's distinct shingles, the `most` smallest alone if given."""
+def mark_filter(marks: DataFrame) -> np.ndarray:
+    """A bit for each rest of a mark modulo 2 to the FILTER-th, of a fixed 8 MB: with many marks it lets more rows pass, and loses none."""
+
+    def part(found: pa.Table) -> pa.Table:
+        bits = np.zeros(1 << PART, np.uint8)
+        bits[found["at"].to_numpy()] = 1
+        return pa.table({"part": found["part"].slice(0, 1), "bits": pa.array([np.packbits(bits).tobytes()])})
+
+    spot = F.pmod("_mark", F.lit(1 << FILTER))
+    places = marks.select(F.shiftright(spot, PART).cast("int").alias("part"), (spot % (1 << PART)).cast("int").alias("at")).distinct()
+    out = np.zeros((1 << (FILTER - PART), 1 << (PART - 3)), np.uint8)
+    for r in places.groupBy("part").applyInArrow(part, "part int, bits binary").collect():
+        out[r.part] = np.frombuffer(r.bits, np.uint8)
+    return out.ravel()
+
+
+def shingle_sets(docs: DataFrame, words: int, most: int | None, wanted: np.ndarray | None = None) -> DataFrame:
+    """(doc_id, mark, n_shingles, sig, shingles): sorted hashes of each row's distinct shingles, the `most` smallest alone if given; of rows alone whose marks are wanted."""
+    sent = docs.sparkSession.sparkContext.broadcast(wanted) if wanted is not None else None
 
     def run(batches):
         for batch in batches:
+            if sent is not None:
+                spot = batch.column(2).to_numpy().view(np.uint64) & np.uint64((1 << FILTER) - 1)
+                batch = batch.take(pa.array(np.flatnonzero(sent.value[spot >> np.uint64(3)] >> (7 - (spot & np.uint64(7)).astype(np.uint8)) & 1)))
             ids, texts, marks = batch.column(0), batch.column(1).to_pylist(), batch.column(2)
             for a, b in slices(texts):
                 hashes, bounds = word_hashes(texts[a:b])
@@ -42,7 +62,7 @@ def shingle_sets(docs: DataFrame, words: int, most: int | None) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, kept)]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.uint64), *kept]).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), marks.slice(a, b - a), pa.array([len(x) for x in sets], pa.int64()), pa.array([xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), lists], names=["doc_id", "mark", "n_shingles", "sig", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("mark")).mapInArrow(run, _SETS)
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("mark")).mapInArrow(run, _SETS)
 
 
 def union_estimate(a: np.ndarray, b: np.ndarray, k: int = SKETCH) -> float:
@@ -66,7 +86,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, k: int =
     """
     rows = materialize(shingle_sets(docs, words, k).withColumnRenamed("shingles", "sketch"), "sketches")
     usable = rows.filter("n_shingles > 0 and doc_id is not null")
-    # The sketch follows from the set, so any row's will do; the mark finds a text of the set again.
+    # The sketch follows from the set, so any row's will do; the mark finds one row of the set again.
     nodes = materialize(usable.groupBy("sig").agg(F.min("doc_id").alias("node"), F.min("mark").alias("mark"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "nodes")
 
     # Inverted lists: values that more than one node holds, per node the rarest that its sketch needs.
@@ -94,11 +114,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, k: int =
 
     near = materialize(near.select("hub", "sig", "sketch", "hub_sketch").mapInArrow(estimated, "hub binary, sig binary"), "estimated")
     wanted = members.select("sig").union(members.select("hub")).distinct().join(nodes.select("sig", "mark", "node", "n"), "sig")
-    marks = materialize(wanted.select(F.col("mark").alias("_mark")).distinct(), "marks")
-    # Eight bytes each: up to this many are sent to all executors, so that texts stay where they are; more are joined.
-    marks = F.broadcast(marks) if marks.count() <= MOST_SENT else marks
-    marked = docs.withColumn("_mark", F.xxhash64("text")).join(marks, "_mark", "left_semi")
-    sets = shingle_sets(marked, words, None).filter("doc_id is not null").select("sig", "shingles").join(wanted.select("sig", "mark"), "sig").dropDuplicates(["sig"]).drop("mark")
+    # One row for each set is read again; the filter keeps most others from it, so that texts stay where they are, and the join the rest.
+    again = shingle_sets(docs, words, None, mark_filter(wanted.select(F.col("mark").alias("_mark"))))
+    sets = again.filter("doc_id is not null").select("sig", "mark", "shingles").join(wanted.select("sig", "mark"), ["sig", "mark"]).dropDuplicates(["sig"]).drop("mark")
     sets = materialize(sets, "full_sets")
 
     def confirmed(batches):
