@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import free, materialize
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -31,11 +31,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         around = both(edges)
         least = materialize(_least(around), "least")
         large = around.filter("b > a").join(least, around.a == least.node).select(F.col("b").alias("a"), F.col("least").alias("b"))
-        edges = materialize(tidy(large), "large_star")
+        old, edges = (edges, least), materialize(tidy(large), "large_star")
+        free(*old)
         least = materialize(_least(edges), "least")
         small = edges.join(least, edges.a == least.node)
         small = small.select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(least.select(F.col("node").alias("a"), F.col("least").alias("b")))
-        edges = materialize(tidy(small), "small_star")
+        old, edges = (edges, least), materialize(tidy(small), "small_star")
+        free(*old)
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
