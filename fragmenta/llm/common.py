@@ -81,6 +81,24 @@ def free(*tables: DataFrame) -> None:
             _made.remove(entry)
 
 
+def fresh(name: str, taken) -> str:
+    """The name, with as many _ behind it as no taken name (in any case) needs."""
+    lower = {x.lower() for x in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
+def aside(docs: DataFrame, names) -> tuple[DataFrame, dict[str, str]]:
+    """docs with the columns of these names called otherwise, and how to call them back."""
+    lower = {x.lower() for x in names}
+    out: dict[str, str] = {}
+    for c in docs.columns:
+        if c.lower() in lower:
+            out[fresh(f"{c}_", {*docs.columns, *names, *out})] = c
+    return docs.withColumnsRenamed({v: k for k, v in out.items()}), out
+
+
 def n_words(text: Column) -> Column:
     """Runs of other characters than white space; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_CLASS)), F.lit(0)).cast("long")
@@ -91,7 +109,7 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds == fold
 
 
-def slices(texts: list, most: int = 4_000_000):
+def slices(texts: list, most: int = 1_000_000):
     """Index ranges whose texts have about `most` characters together; a longer text stands alone."""
     begin = size = 0
     for i, x in enumerate(texts):

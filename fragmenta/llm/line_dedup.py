@@ -8,12 +8,12 @@ again by position. Only hashes are shuffled by line; each text moves once, by it
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_128_digest
 
-from .common import WS_BYTES, materialize
+from .common import WS_BYTES, fresh, materialize
 
 
 def _key(line: bytes, min_chars: int) -> bytes | None:
@@ -46,18 +46,18 @@ def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """docs with the lines dropped whose key at least min_docs documents hold.
 
-    The text is replaced, and n_lines (before) and n_dropped are added; other columns stay as they are.
+    The text is replaced, and n_lines (before) and n_dropped are added, in place of columns of these names; other columns stay as they are.
     Null or empty text is one empty line, kept, as ''. Rows that share a doc_id count as one document;
     so do rows without one. Keys of fewer than min_chars code points are never dropped. A text all of
     whose lines go is ''. An empty table gives an empty table.
     """
-    clash = {"n_lines", "n_dropped", "__hot"} & set(docs.columns)
-    docs = docs.drop(*clash)
+    docs = docs.drop("n_lines", "n_dropped")
+    own, dropped = fresh("id", docs.columns), fresh("hot", docs.columns)
     pairs = materialize(line_keys(docs, min_chars), "line_keys")
     holders = pairs.groupBy("key", "doc_id").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("*").alias("n"))
     hot = materialize(holders.filter(F.col("n") >= min_docs).select("key"), "hot_lines")
-    by_doc = pairs.join(hot, "key").groupBy("doc_id").agg(F.collect_set("key").alias("__hot")).withColumnRenamed("doc_id", "__id")
-    joined = docs.join(by_doc, docs.doc_id.eqNullSafe(by_doc['__id']), "left").drop("__id")
+    by_doc = pairs.join(hot, "key").groupBy("doc_id").agg(F.collect_set("key").alias(dropped)).withColumnRenamed("doc_id", own)
+    joined = docs.join(by_doc, docs.doc_id.eqNullSafe(by_doc[own]), "left").drop(own)
     names, at = docs.columns, docs.columns.index("text")
 
     def kept(batches):
@@ -81,8 +81,5 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> Data
 
     fields = [T.StructField(f.name, f.dataType) for f in docs.schema]
     schema = T.StructType([*fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    return joined.select(*names, "__hot").mapInArrow(kept, schema)
+    return joined.select(*names, dropped).mapInArrow(kept, schema)
 
-
-def digest(docs: DataFrame, text: str = "text", name: str = "kept_sha256") -> Column:
-    return F.sha2(F.coalesce(docs[text], F.lit("")), 256).alias(name)

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize, n_words
 
+#: Columns that mixing adds, in place of any of these names.
+ADDED = ("size", "source_size", "target", "copies", "taken")
 #: Patterns of sources that the driver takes; their number doesn't grow with the documents.
 MOST_PATTERNS = 200_000
 
@@ -146,11 +148,11 @@ def mix(docs: DataFrame, members: Column, weights: Sequence[float] = (3, 1, 2),
     together (of its one source, where it has one). Rows are documents: repeated rows each count. Words
     are runs of other than white space; null text has none. Documents are whole: a source misses its
     target by less than its smallest document of those left. Rows of no words take 0. A table without words has
-    targets of 0. Columns named like the added ones are replaced.
+    targets of 0. Columns named like the added ones are replaced, and names that begin with two _ are the operator's own.
     """
-    spark, added = docs.sparkSession, ["size", "source_size", "target", "copies", "taken"]
+    spark = docs.sparkSession
     own = F.when(F.size(members) > 0, F.array_sort(F.array_distinct(members))).otherwise(F.array(F.lit(None).cast("string")))
-    docs = docs.withColumns({"__own": own, "__size": n_words(F.col("text"))}).drop(*added)
+    docs = docs.withColumns({"__own": own, "__size": n_words(F.col("text"))}).drop(*ADDED)
     # The text is part of the order, so that rows without an id spread too.
     docs = docs.withColumns({"__p": F.to_json("__own"), "__ord": F.xxhash64(F.lit(seed), "doc_id", "text")}).drop("__own")
     docs = docs.withColumns({"__b1": F.shiftrightunsigned("__ord", 52).cast("int"), "__b2": (F.shiftrightunsigned("__ord", 40) % 4096).cast("int")})
