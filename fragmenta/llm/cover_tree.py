@@ -21,6 +21,8 @@ LEAF, BASE, CHILDREN = 48, 1.4, 24
 FEW_QUERIES, FEW_DATA = 64, 256
 #: Products below this are exact in float64, and score and rank fit into one int64 key.
 EXACT = 1 << 48
+#: Bounds beyond this prune nothing.
+HUGE = 10**300
 
 
 class Node:
@@ -64,10 +66,10 @@ def search(queries: np.ndarray, data: np.ndarray, query_ids: np.ndarray, data_id
     """
     n = len(data)
     kind = np.int64
-    worst = float(np.abs(queries).max(initial=0)) * float(np.abs(data).max(initial=0)) * max(queries.shape[1], 1)
+    worst = int(np.abs(queries).max(initial=0)) * int(np.abs(data).max(initial=0)) * max(queries.shape[1], 1)
     if worst * n >= EXACT * 1024 or worst >= EXACT:  # sizes that no float64 sum holds: whole numbers of any size
         kind = object
-    none = (int(worst) + 2) * n
+    none = (worst + 2) * n
     keys = np.full((len(queries), k), none, dtype=kind)
     bar = np.full(len(queries), -np.inf)
     whole = [[[int(x) for x in v] for v in m] for m in (queries, data)] if kind is object else None
@@ -83,12 +85,12 @@ def search(queries: np.ndarray, data: np.ndarray, query_ids: np.ndarray, data_id
         new = np.sort(np.partition(new, k, axis=1)[:, :k] if new.shape[1] > k else new, axis=1)[:, :k]
         keys[q] = new
         last = new[:, -1]
-        bar[q] = [float(-((x - x % n) // n)) if x < none else -np.inf for x in last.tolist()] if kind is object else np.where(last < none, -(last // n), -np.inf)
+        bar[q] = [float(max(-HUGE, min(HUGE, -((x - x % n) // n)))) if x < none else -np.inf for x in last.tolist()] if kind is object else np.where(last < none, -(last // n), -np.inf)
 
     def bound(a, b):
         return float(a.center @ b.center) + a.radius * b.norm + b.radius * a.norm + a.radius * b.radius
 
-    slack = 1e-6 * max(worst, 1.0) if kind is object else 1e-3
+    slack = 1e-6 * min(max(worst, 1), HUGE) if kind is object else 1e-3
     root = build(np.concatenate([queries, data]), len(queries)) if len(queries) + n else None
     todo = [(np.inf, root, root)] if len(queries) and n else []
     while todo:
@@ -117,9 +119,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, scale: float = 256.0,
     Components become floor(scale * x), x as double; the score is their whole-number inner product, the shorter
     vector filled up with zeros. A candidate is every row but those with the query's id. Ties go to the smaller
     vec_id; repeated rows each count as candidates, equal queries as one. Vectors or ids that are null, and vectors with
-    null or non-finite components, take no part. Scores beyond a long stay at its ends. No rows give no rows.
+    null or non-finite components (before or after scaling), take no part. Scores beyond a long stay at its ends. No rows give no rows.
     """
-    fine = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    fine = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x * F.lit(scale)) < float("inf")))
     pick = lambda df: df.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v")).withColumnsRenamed({"id": "vec_id", "v": "embedding"}).filter(fine)
     data, asked = pick(vectors), pick(queries).distinct()
     n_data, n_asked = data.count(), asked.count()

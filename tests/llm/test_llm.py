@@ -411,6 +411,13 @@ def test_search_of_large_numbers():
     assert [int(s) for s in score[0]] == [2**80 + 1, 2**80 - 1] and place[0].tolist() == [0, 1]
 
 
+def test_top_k_of_huge_components(spark):
+    vectors = [(1, [1e300, 1.0]), (2, [1e300, 2.0]), (3, [-1e300, 0.0]), (4, [1e308, 0.0]), (5, [0.5, 0.5])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    found = [(r.rank, r.vec_id) for r in cover_tree.top_k(df, df.filter("vec_id = 1"), 5).collect()]
+    assert sorted(found) == [(1, 2), (2, 5), (3, 3)]
+
+
 def test_pruning_keeps_results():
     rng = np.random.default_rng(5)
     data = np.floor(256 * (rng.normal(size=(3000, 4)) * 0.05 + rng.integers(0, 4, 3000)[:, None]))
