@@ -16,10 +16,11 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
-from .sampling import Logistic, labelled
+from .common import free
+from .sampling import Logistic, examples, labelled, measured
 
 BLOCK, DICTIONARY, LEVEL = 1024, 112 << 10, 3
-#: Bounds of the training sample: documents per label for the dictionaries, documents to calibrate on, characters of each, blocks for a dictionary.
+#: Bounds of the training sample: documents per label for the dictionaries, documents to calibrate on, characters of each for the dictionaries, blocks for a dictionary.
 PER_CLASS, MIXED, CHARS, BLOCKS = 600, 3500, 20_000, 8000
 
 
@@ -62,28 +63,36 @@ def sizes(texts: list[str | None], good, bad) -> np.ndarray:
     return np.array(rows, dtype=float).reshape(-1, 5)
 
 
-def train(sample: dict[str, list[tuple[str, int]]]) -> Model:
-    rows = sample["mixed"]
-    share = float(np.mean([y for _, y in rows])) if rows else 0.5
-    if not sample["0"] or not sample["1"] or share in (0, 1):
-        return Model(share)
+def train(sample: dict[str, list[str]]) -> Model:
+    """The dictionaries of good ("1") and bad ("0") texts; no calibration yet."""
     data = []
     for kind in ("1", "0"):
-        parts = [x for text, _ in sample[kind] for x in blocks(text)]
+        parts = [x for text in sample[kind] for x in blocks(text)]
         random.Random(5).shuffle(parts)
         try:
             data.append(zstandard.train_dictionary(DICTIONARY, parts[:BLOCKS]).as_bytes())
         except zstandard.ZstdError:  # too little text to train on: the text itself serves
             data.append(b"".join(parts)[-DICTIONARY:] or b"\0" * 8)
-    model = Model(share, *data)
-    x = sizes([t for t, _ in rows], *model.compressors())
-    model.calibrate = Logistic(x, np.array([y for _, y in rows], dtype=float))
-    return model
+    return Model(0.5, *data)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, out: Column, seed: int = 3) -> Model:
-    """Trains on a bounded sample (PER_CLASS, MIXED, CHARS above) of documents with a label that aren't held out."""
-    return train(labelled(docs, labels, label, out, PER_CLASS, MIXED, CHARS, seed))
+    """Trains on a bounded sample (PER_CLASS, MIXED, CHARS above) of documents with a label that aren't held out.
+
+    Dictionaries are of pieces from anywhere in the texts; the calibration measures whole texts, as scores do.
+    """
+    sample = labelled(docs, labels, label, out, PER_CLASS, MIXED, seed)
+    texts = examples(sample, CHARS, seed)
+    if not texts["0"] or not texts["1"]:
+        free(sample)
+        return Model(1.0 if texts["1"] else 0.0 if texts["0"] else 0.5)
+    model = train(texts)
+    x, y = measured(sample, lambda part: sizes(part, *model.compressors()))
+    free(sample)
+    model.share = float(y.mean())
+    if 0 < model.share < 1:
+        model.calibrate = Logistic(x, y)
+    return model
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:

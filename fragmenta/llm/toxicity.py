@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
-from .common import slices
-from .sampling import Logistic, labelled
+from .common import free, slices
+from .sampling import Logistic, examples, labelled, measured
 
 WORD = re.compile(r"[^\W\d_]+")
-#: Bounds of the training sample: documents per label, documents to calibrate on, characters of each, segments trained on.
+#: Bounds of the training sample: documents per label, documents to calibrate on, characters of each for the tagger, segments trained on.
 PER_CLASS, MIXED, CHARS, SEGMENTS = 2000, 3000, 8000, 6000
 #: Words of a sequence in training and in tagging; a longer text is several sequences.
 SHORT, LONG = 32, 128
@@ -166,26 +166,36 @@ def summary(marginals: list[np.ndarray]) -> np.ndarray:
     return np.array([(p.max(), np.log1p(p[p > 0.05].sum())) if len(p) else (0.0, 0.0) for p in marginals]).reshape(-1, 2)
 
 
-def train(sample: dict[str, list[tuple[str, int]]]) -> Model:
-    rows = sample["mixed"]
-    share = float(np.mean([y for _, y in rows])) if rows else 0.5
-    if not sample["0"] or not sample["1"] or share in (0, 1):
-        return Model(share)
-    words = {k: [[w.lower() for w in WORD.findall(x)] for x, _ in sample[k]] for k in ("0", "1")}
+def train(sample: dict[str, list[str]]) -> Model:
+    """The tagger of toxic ("1") and clean ("0") texts; no calibration yet."""
+    words = {k: [[w.lower() for w in WORD.findall(x)] for x in sample[k]] for k in ("0", "1")}
     marks = marking_words([set(x) for x in words["1"]], [set(x) for x in words["0"]])
     cut = lambda docs, toxic: [(x[i : i + SHORT], [int(toxic and w in marks) for w in x[i : i + SHORT]]) for x in docs for i in range(0, len(x), SHORT)]
     pick = lambda xs, n: xs[:: max(1, -(-len(xs) // n))]
     toxic = cut(words["1"], True)
     # Half of the sequences are of toxic words, a quarter of others of toxic documents, a quarter of clean ones.
     chosen = pick([x for x in toxic if any(x[1])], SEGMENTS // 2) + pick([x for x in toxic if not any(x[1])], SEGMENTS // 4) + pick(cut(words["0"], False), SEGMENTS // 4)
-    model = Model(share, train_field(chosen))
-    model.calibrate = Logistic(summary(model.marginals([x for x, _ in rows])), np.array([y for _, y in rows], dtype=float), penalty=0.1, square=False)
-    return model
+    return Model(0.5, train_field(chosen))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, out: Column, seed: int = 10) -> Model:
-    """Trains on a bounded sample (PER_CLASS, MIXED, CHARS above) of documents with a label that aren't held out."""
-    return train(labelled(docs, labels, label, out, PER_CLASS, MIXED, CHARS, seed))
+    """Trains on a bounded sample (PER_CLASS, MIXED, CHARS above) of documents with a label that aren't held out.
+
+    The tagger is trained on pieces from anywhere in the texts; the calibration measures whole texts, as scores do.
+    """
+    sample = labelled(docs, labels, label, out, PER_CLASS, MIXED, seed)
+    texts = examples(sample, CHARS, seed)
+    if not texts["0"] or not texts["1"]:
+        free(sample)
+        return Model(1.0 if texts["1"] else 0.0 if texts["0"] else 0.5)
+    model = train(texts)
+    x, y = measured(sample, lambda part: summary(model.marginals(part)))
+    free(sample)
+    share = float(y.mean())
+    if share in (0, 1):
+        return Model(share)
+    model.share, model.calibrate = share, Logistic(x, y, penalty=0.1, square=False)
+    return model
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, spans: bool = True) -> DataFrame:

@@ -15,7 +15,7 @@ from fragmenta.llm.common import held_out
 from fragmenta.llm.exact_dedup import dedup_exact
 from fragmenta.llm.line_dedup import dedup_lines
 from fragmenta.llm.minhash_dedup import near_duplicates
-from fragmenta.llm.sampling import labelled
+from fragmenta.llm.sampling import Logistic, examples, labelled, measured, pieces
 
 from llm.conftest import TEXTS
 
@@ -240,8 +240,20 @@ def test_classifier_edges(spark, edge, empty, labels, kind, label, folds, fold):
 def test_sample_leaves_out(spark, edge, labels):
     out = held_out(F.col("doc_id"), 5, 0)
     kept = {r.doc_id for r in spark.createDataFrame([(i,) for i in range(1, 14)], "doc_id long").filter(~out).collect()}
-    found = labelled(edge, labels, "quality", out, 3, 100, 10, 1)
-    assert len(found["mixed"]) == len(kept) and len(found["0"]) <= 3 and all(len(t) <= 10 for x in found.values() for t, _ in x)
+    sample = labelled(edge, labels, "quality", out, 3, 100, 1)
+    found, (x, y) = examples(sample, 10, 1), measured(sample, lambda texts: np.array([[len(t)] for t in texts], dtype=float))
+    assert len(y) == len(kept) and len(found["0"]) <= 3 and all(len(t) <= 10 for ts in found.values() for t in ts)
+    shortest = {}
+    for i, t in TEXTS:
+        shortest[i] = min(shortest.get(i, t or ""), t or "")
+    assert sorted(x[:, 0]) == sorted(len(shortest[i]) for i in kept)
+
+
+def test_pieces_come_from_all_of_a_text():
+    long = "".join(chr(256 + i // 1000) for i in range(200_000))
+    found = [pieces(long, 8000, str(i)) for i in range(50)]
+    assert all(len(x) <= 8000 for x in found) and len(set("".join(found)) - {"\n"}) > 150
+    assert pieces(long, 8000, "1") == pieces(long, 8000, "1") and pieces("short", 8000, "1") == "short"
 
 
 def test_held_out_quality(spark):
@@ -277,7 +289,8 @@ def test_field_marginals():
 def test_toxic_spans(spark):
     bad = [f"some text {i} with vile words" for i in range(40)]
     good = [f"some text {i} with kind words" for i in range(40)]
-    model = toxicity.train({"1": [(t, 1) for t in bad], "0": [(t, 0) for t in good], "mixed": [(t, 1) for t in bad] + [(t, 0) for t in good]})
+    model = toxicity.train({"1": bad, "0": good})
+    model.calibrate = Logistic(toxicity.summary(model.marginals(bad + good)), np.array([1.0] * len(bad) + [0.0] * len(good)), penalty=0.1, square=False)
     found = toxicity.score(spark.createDataFrame([(1, "text with Vile, words\nvile words"), (2, "kind stuff")], "doc_id long, text string"), model).collect()
     assert ["text with Vile, words\nvile words"[s.begin : s.end] for s in found[0].spans] == ["Vile", "vile"] and not found[1].spans
     assert found[0].predicted == 1 and found[1].predicted == 0
