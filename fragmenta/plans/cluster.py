@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import audit, health, placement, repair
 from ..sources import tables
 
-TRIALS, SEED, KILL = 200, 7, [10, 25, 50, 75]
+TRIALS, SEED, KILL = 5000, 7, [10, 25, 50, 75]
 
 
 def _keys(spark: SparkSession, sf_dir: str) -> DataFrame:
