@@ -81,9 +81,10 @@ def dedup_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def byte_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct byte values of each page's URL, and the share of the byte of '/'."""
-    pages = tables.table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all(F.hex(F.encode("url", "utf-8")), F.lit("(..)"), F.lit(1))).alias("b"))
-    return pages.groupBy("page_id").agg(F.count_distinct("b").alias("n_distinct"), F.round(F.avg((F.col("b") == "2F").cast("int")), 6).alias("share"))
+    """Distinct byte values of each page's contents, and the share of zero bytes; a row each, so nothing is shuffled. Pages without bytes have no row."""
+    pages = tables.table(spark, sf_dir, "pages").select("page_id", F.regexp_extract_all(F.hex(F.encode("html", "utf-8")), F.lit("(..)"), F.lit(1)).alias("b")).filter(F.size("b") > 0)
+    zeros = F.size(F.filter("b", lambda x: x == "00"))
+    return pages.select("page_id", F.size(F.array_distinct("b")).cast("long").alias("n_distinct"), F.round(zeros / F.size("b"), 6).alias("share"))
 
 
 def merkle_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,8 +152,8 @@ ORACLE = {
         WITH {_CHUNKS}, c AS (SELECT doc_id AS id, sha256(data) AS hash FROM chunks WHERE len > 0)
         SELECT count(*) AS chunks_total, count(DISTINCT hash) AS chunks_unique, count(DISTINCT id) AS objects, round((1 - count(DISTINCT hash) / count(*)) * 100, 2) AS dedup_percent FROM c""",
     "byte_histogram": """
-        WITH b AS (SELECT page_id, unnest(regexp_extract_all(hex(encode(url)), '..')) AS b FROM pages)
-        SELECT page_id, count(DISTINCT b) AS n_distinct, round(avg((b = '2F')::INT), 6) AS share FROM b GROUP BY page_id""",
+        WITH b AS (SELECT page_id, unnest(regexp_extract_all(hex(encode(html)), '..')) AS b FROM pages)
+        SELECT page_id, count(DISTINCT b) AS n_distinct, round(avg((b = '00')::INT), 6) AS share FROM b GROUP BY page_id""",
     "merkle_roots": f"""
         WITH RECURSIVE {_CHUNKS}, l AS (SELECT doc_id, idx, {_SHARD} AS hash FROM chunks),
         a AS (SELECT doc_id, idx // 2 AS idx, sha256(unhex('{_HEX("pair")}') || unhex(string_agg(hash, '' ORDER BY idx))) AS hash FROM l GROUP BY doc_id, idx // 2),
