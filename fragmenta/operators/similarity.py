@@ -46,12 +46,16 @@ def fingerprint(shards: DataFrame) -> DataFrame:
     return slots.select("object_id", F.transform(F.sequence(F.lit(0), F.lit(FINGERPRINT - 1)), lambda i: F.coalesce(F.try_element_at("by", i), F.lit(0)).cast("int")).alias("fp"))
 
 
-def chunk_diff(a: DataFrame, b: DataFrame, by: list[str] = ()) -> DataFrame:
-    """Per (by.., channel, layer) of hashes (by.., channel, layer, idx, hash, k) in both: n_common and n_total of the systematic places that both have."""
+def diff_cells(a: DataFrame, b: DataFrame, by: list[str] = ()) -> DataFrame:
+    """(by.., channel, layer, idx, is_common) of hashes (by.., channel, layer, idx, hash, k): the systematic places that both have."""
     key = [*by, "channel", "layer", "idx"]
     both = a.select(*key, F.col("hash").alias("ha"), F.col("k").alias("ka")).join(b.select(*key, F.col("hash").alias("hb"), F.col("k").alias("kb")), key)
-    both = both.filter(F.col("idx") < F.least("ka", "kb"))
-    return both.groupBy(*by, "channel", "layer").agg(F.count_if(F.col("ha") == F.col("hb")).alias("n_common"), F.count("*").alias("n_total"))
+    return both.filter(F.col("idx") < F.least("ka", "kb")).select(*key, (F.col("ha") == F.col("hb")).alias("is_common"))
+
+
+def chunk_diff(a: DataFrame, b: DataFrame, by: list[str] = ()) -> DataFrame:
+    """Cells summed up per (by.., channel, layer): n_common and n_total."""
+    return diff_cells(a, b, by).groupBy(*by, "channel", "layer").agg(F.count_if("is_common").alias("n_common"), F.count("*").alias("n_total"))
 
 
 def overlaps(hashes: DataFrame, target) -> DataFrame:
