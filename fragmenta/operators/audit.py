@@ -57,11 +57,11 @@ def scores_after(log: DataFrame, order: list[str], alpha: float = ALPHA, first:
 DEALT, DRAWN = 3, 15
 
 
-def _drawn(seed: int, what: str) -> Column:
+def _drawn(seed: int | str, what: str) -> Column:
     return F.conv(F.substring(F.sha2(F.concat_ws("-", F.lit(str(seed)), F.col("draw").cast("string"), F.lit(what)), 256), 1, DRAWN), 16, 10).cast("long")
 
 
-def samples(catalog: DataFrame, expected: DataFrame, n: int, seed: int) -> DataFrame:
+def samples(catalog: DataFrame, expected: DataFrame, n: int, seed: int | str) -> DataFrame:
     """(draw, path, object_id, channel, layer, idx, hash) of n draws, with replacement, from catalog (path, object_id, channels, nlayers).
 
     An object is drawn first, then a channel and a layer, then one of the hashes expected (object_id, channel, layer, idx, hash; idx from 0 without gaps) there;

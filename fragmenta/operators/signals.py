@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import haar
-from ..schema import K, LEVELS, NLAYERS, REDUNDANCY
+from ..schema import LEVELS, N_PER_LAYER, NLAYERS, REDUNDANCY, K
 
 
 def transformed(signals: DataFrame, n: int, levels: int = LEVELS) -> DataFrame:
@@ -34,6 +34,16 @@ def progressive_psnr(signals: DataFrame, n: int, peak: float, levels: int = LEVE
     return lost.withColumn("psnr", psnr(F.col("mse"), peak))
 
 
+def degradation(signals: DataFrame, n: int, peak: float, survivals: tuple[int, ...], seed: int, n_per_layer: tuple[int, ...] = N_PER_LAYER, k: int = K) -> DataFrame:
+    """(id, percent, mse, psnr) of reads when each fragment survives with that many percent, drawn by hash: a layer with fewer than k left reads as zeros."""
+    spark = signals.sparkSession
+    planned = spark.createDataFrame([(p, layer, i) for p in survivals for layer, m in enumerate(n_per_layer) for i in range(m)], "percent int, layer int, i int")
+    drawn = F.conv(F.substring(F.sha2(F.concat_ws("-", F.lit(str(seed)), F.col("percent").cast("string"), F.col("layer").cast("string"), F.col("i").cast("string")), 256), 1, 8), 16, 10).cast("long") % 100
+    kept = planned.groupBy("percent", "layer").agg((F.count_if(drawn < F.col("percent")) >= k).alias("ok"))  # a row per percent and layer
+    lost = layer_energy(signals, n, len(n_per_layer) - 1).join(F.broadcast(kept), "layer").groupBy("id", "percent").agg((F.sum(F.when(F.col("ok"), 0.0).otherwise(F.col("energy"))) / n).alias("mse"))
+    return lost.withColumn("psnr", psnr(F.col("mse"), peak))
+
+
 def psnr(mse: Column, peak: float = 255.0) -> Column:
     """Decibels; 99 where nothing differs."""
     return F.when(mse < 1e-9, 99.0).otherwise(10 * F.log10(F.lit(peak * peak) / mse))

@@ -6,15 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing, web
-from ..operators import audit, catalog, coding, health, ingest, placement, repair, reports, similarity, store
-from ..schema import FINGERPRINT, K, TAG
-from ..sources import tables
+from ..operators import audit, catalog, coding, health, ingest, placement, repair, reports, signals, similarity, store
+from ..schema import FINGERPRINT, N_PER_LAYER, TAG, K
+from ..sources import manifests, tables
 from . import cluster, text
 from .coding import ORACLE as CODING
 from .coding import QUERIES as CODED
+from .signals import _LAYERED
 
 KINDS = ("image", "text", "audio", "opaque", "directory")
 SAMPLES, SEED, NEW_NODE = 2000, 7, 1_000_000
+SURVIVALS = (100, 85, 62, 45, 30)
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,11 +216,43 @@ def fingerprint_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("object_id", F.array_join(F.transform("fp", lambda x: F.lower(F.lpad(F.hex(x), 2, "0"))), "").alias("fp"))
 
 
+def reinsert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All planned fragments put again: only those that were lost are new."""
+    planned = _expected(spark, sf_dir).select("node", *store.KEY, "hash", "payload")
+    return catalog.insert_shards(_stored(spark, sf_dir), planned).groupBy("object_id").agg(F.count("*").alias("n_new"))
+
+
+def degradation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What reads of embeddings are worth when some percent of all fragments survive."""
+    found = signals.degradation(tables.signals(spark, sf_dir), 64, 1.0, SURVIVALS, SEED)
+    return found.select("id", "percent", F.round("mse", 8).alias("mse"), F.round("psnr", 4).alias("psnr"))
+
+
+def manifest_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as binary manifests and back."""
+    x = _expected(spark, sf_dir)
+    grid = _orders(spark, sf_dir).select("object_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("layer"))
+    by_layer = grid.join(x.groupBy("object_id", "layer").agg(F.sort_array(F.collect_list("hash")).alias("hs")), ["object_id", "layer"], "left")
+    hashes = F.transform(F.coalesce("hs", F.array().cast("array<string>")), F.unhex)
+    lists = by_layer.groupBy("object_id").agg(F.sort_array(F.collect_list(F.struct("layer", F.size(hashes).cast("long").alias("n"), hashes.alias("h")))).alias("ls"))
+    rows = _orders(spark, sf_dir).join(lists, "object_id")
+    longs, size = F.array().cast("array<bigint>"), F.lit(0).cast("long")
+    full = rows.select(
+        "object_id", F.lit(K).alias("k"), "nlayers", "channels", size.alias("width"), size.alias("height"), F.lit(3).alias("levels"), F.lit("rendezvous").alias("placement"), F.col("ls.n").alias("n_per_layer"),
+        F.transform("ls.layer", lambda i: (64 * (i + 1)).cast("long")).alias("sym_len"), F.transform("ls.n", lambda n: F.array(n)).alias("positions"), F.array(F.lit("a:1"), F.lit("b:2")).alias("nodes"),
+        F.array(F.lit(0), F.lit(1)).alias("zones"), "data_cid", F.unhex(F.repeat(F.lit("00"), 32)).alias("merkle_root"), F.array("ls.h").alias("shard_hashes"), "kind", "content_type", longs.alias("chunk_lens"),
+        size.alias("audio_sample_rate"), F.array("object_id").alias("text_minhash"),
+    )
+    back = manifests.decoded(manifests.encoded(full))
+    digest = F.sha2(F.array_join(F.transform(F.flatten(F.flatten("shard_hashes")), lambda h: F.lower(F.hex(h))), ","), 256)
+    return back.select("object_id", "k", "kind", "placement", "content_type", F.array_join(F.transform("n_per_layer", lambda n: n.cast("string")), ",").alias("n_per_layer"), F.lower(F.hex("data_cid")).alias("cid"), digest.alias("hashes_sha"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         point_scan, point_lookup, purge_counts, truncate_node, gather_layers, verified_shards, inspect_zoom, cluster_statistics, statistics_json, catalog_cards, health_index, object_health,
-        similar_report, diff_report, ingest_outcomes, transport_answers, audit_samples, auditor_tick, rebalance_need, repaired_texts, mix_donors_sql, fingerprint_shards,
+        similar_report, diff_report, ingest_outcomes, transport_answers, audit_samples, auditor_tick, rebalance_need, repaired_texts, mix_donors_sql, fingerprint_shards, reinsert_shards, degradation, manifest_roundtrip,
     )
 }
 
@@ -247,7 +281,38 @@ _MORE = f"SELECT node FROM n UNION ALL SELECT {NEW_NODE}"
 _CID = lambda kind: f"unhex('{(f'{TAG}-{kind}-v1' + chr(0)).encode().hex()}')"
 _TEXT_TYPE, _OPAQUE_TYPE = web.TEXT_TYPES.get("txt", "text/plain; charset=utf-8"), web.OPAQUE_TYPES.get("txt", "application/octet-stream")
 
+_HEALTH = f"""
+    WITH {cluster._NODES}, {cluster._GRID}, t1 AS (SELECT * FROM t WHERE object_id = 1), pa AS (SELECT layer, node FROM p WHERE object_id = 1 AND NOT lost),
+    zz AS (SELECT DISTINCT zone AS dead FROM n), hz AS (SELECT layer, zone, count(*) AS c FROM pa JOIN n USING (node) GROUP BY ALL),
+    za AS (SELECT dead, t1.layer, t1.n_alive - coalesce(c, 0) >= t1.k AS ok FROM t1 CROSS JOIN zz LEFT JOIN hz ON hz.layer = t1.layer AND hz.zone = dead),
+    zr AS (SELECT dead, coalesce(min(layer) FILTER (NOT ok) - 1, max(layer)) AS best FROM za GROUP BY dead),
+    rs AS (SELECT coalesce(min(layer) FILTER (margin < 0) - 1, max(layer)) AS best FROM t1),
+    y AS (SELECT layer, node, count(*) AS c FROM pa GROUP BY ALL),
+    d AS (SELECT trial, node, row_number() OVER (PARTITION BY trial ORDER BY sha256('{SEED}-' || trial || '-' || node), node) AS turn, count(*) OVER (PARTITION BY trial) AS c FROM n, (SELECT unnest(range({cluster.TRIALS})) AS trial)),
+    e AS (SELECT pct, trial, node FROM d, (SELECT unnest({cluster.KILL}) AS pct) WHERE turn <= floor(c * pct / 100)),
+    l AS (SELECT pct, trial, layer, sum(c) AS gone FROM e JOIN y USING (node) GROUP BY ALL),
+    a AS (SELECT q.pct, r.trial, t1.layer, n_alive - coalesce(gone, 0) >= k AS ok FROM (SELECT unnest({cluster.KILL}) AS pct) q CROSS JOIN (SELECT unnest(range({cluster.TRIALS})) AS trial) r CROSS JOIN t1
+          LEFT JOIN l ON l.pct = q.pct AND l.trial = r.trial AND l.layer = t1.layer),
+    f AS (SELECT pct, trial, coalesce(min(layer) FILTER (NOT ok) - 1, max(layer)) AS best FROM a GROUP BY ALL)
+    SELECT 'margin' AS section, channel::BIGINT AS a, layer::BIGINT AS b, margin::DOUBLE AS value FROM t1
+    UNION ALL SELECT 'resolution', NULL, NULL, CASE WHEN best >= 0 THEN best END FROM rs WHERE best IS NOT NULL
+    UNION ALL SELECT 'zone', dead, NULL, CASE WHEN best >= 0 THEN best END FROM zr WHERE (SELECT count(*) FROM zz) > 1
+    UNION ALL SELECT 'loss', pct, best, round(count(*) / {float(cluster.TRIALS)}, 6) FROM f GROUP BY pct, best"""
+_N_OF = "[" + ", ".join(map(str, N_PER_LAYER)) + "]"
+
 ORACLE = {
+    "object_health": _HEALTH,
+    "reinsert_shards": f"WITH {_X} SELECT object_id, count(*) AS n_new FROM x WHERE returned GROUP BY object_id",
+    "degradation": f"""
+        WITH {_LAYERED}, g AS (SELECT pct, layer, unnest(range({_N_OF}[layer + 1])) AS i FROM (SELECT unnest({list(SURVIVALS)}) AS pct), (SELECT unnest(range(4)) AS layer)),
+        h AS (SELECT pct, layer, count(*) FILTER (('0x' || substr(sha256('{SEED}-' || pct || '-' || layer || '-' || i), 1, 8))::BIGINT % 100 < pct) >= {K} AS ok FROM g GROUP BY ALL),
+        e AS (SELECT id, pct AS percent, sum(CASE WHEN ok THEN 0 ELSE v * v END) / 64 AS mse FROM c JOIN h USING (layer) GROUP BY ALL)
+        SELECT id, percent::INT AS percent, round(mse, 8) AS mse, round(CASE WHEN mse < 1e-9 THEN 99 ELSE 10 * log10(1 / mse) END, 4) AS psnr FROM e""",
+    "manifest_roundtrip": f"""
+        WITH {_O}, {_X}, ly AS (SELECT object_id, l::INT AS layer FROM o, range(4) q(l)),
+        ns AS (SELECT object_id, string_agg(n::VARCHAR, ',' ORDER BY layer) AS n_per_layer FROM (SELECT ly.object_id, ly.layer, count(x.hash) AS n FROM ly LEFT JOIN x USING (object_id, layer) GROUP BY ALL) GROUP BY object_id),
+        hs AS (SELECT o.object_id, sha256(coalesce(string_agg(hash, ',' ORDER BY layer, hash), '')) AS hashes_sha FROM o LEFT JOIN x USING (object_id) GROUP BY o.object_id)
+        SELECT object_id, {K} AS k, kind, 'rendezvous' AS placement, content_type, n_per_layer, sha256(path) AS cid, hashes_sha FROM o JOIN ns USING (object_id) JOIN hs USING (object_id)""",
     "point_scan": f"WITH {_X} SELECT node, hash FROM s WHERE object_id = 1 AND layer = 0",
     "point_lookup": f"WITH {_X} SELECT x.object_id, x.layer, x.hash, CASE WHEN NOT returned THEN node END AS node, CASE WHEN NOT returned THEN octet_length(encode(body)) END AS size_bytes FROM x",
     "purge_counts": f"WITH {_O}, {_X} SELECT o.object_id, count(s.hash) AS n, 0 AS n_left FROM o LEFT JOIN s USING (object_id) WHERE o.object_id % 3 = 0 GROUP BY o.object_id",

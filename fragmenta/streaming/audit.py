@@ -1,18 +1,21 @@
-"""Audit and monitoring as streams: node reputation as keyed state, liveness by micro-batch, snapshots.
+"""Audit and monitoring as streams: node reputation as keyed state, liveness and audits by micro-batch, snapshots.
 
 The model works in processing time. Writes are idempotent by key, so a batch that is tried again changes nothing.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators import audit, health
-from ..schema import ALPHA, FIRST_SCORE
+from ..operators import audit, health, reports
+from ..schema import ALPHA, FIRST_SCORE, THRESHOLD
+from ..sources import tables
 
 
 def scores(log: DataFrame, alpha: float = ALPHA, first: float = FIRST_SCORE) -> DataFrame:
@@ -70,3 +73,41 @@ class Monitor:
 
 def monitor(spark: SparkSession, state: str, grid: DataFrame, alive: DataFrame, threshold: int = 0) -> Monitor:
     return Monitor(spark, state, health.layer_statistics(grid, alive), threshold)
+
+
+def _by_batch(ticks: DataFrame, look: Callable[[int], None], checkpoint: str, every: str | None) -> StreamingQuery:
+    writer = ticks.writeStream.foreachBatch(lambda _, number: look(number)).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+class Auditor:
+    """Tick after tick: fragments drawn at random are asked for, and the scores of their nodes go on.
+
+    Events and scores of each tick have folders of their own under `state`, so that a tick that is tried again starts where it did.
+    """
+
+    def __init__(self, spark: SparkSession, state: str, catalog: DataFrame, expected: DataFrame, nodes: DataFrame, shards: DataFrame, samples: int = 16, seed: int = 1, threshold: float = THRESHOLD):
+        self.spark, self.state, self.tables, self.samples, self.seed, self.threshold = spark, state, (catalog, expected, nodes, shards), samples, seed, threshold
+
+    def scores(self, number: int) -> DataFrame:
+        """(node, score) after a tick; none before the first."""
+        return tables.read_or_empty(self.spark, f"{self.state}/scores-{number}", "node int, score double")
+
+    def tick(self, number: int) -> DataFrame:
+        """Events of a tick, see audit.tick."""
+        catalog, expected, nodes, shards = self.tables
+        before, at = self.scores(number - 1), f"{self.state}/events/tick={number}"
+        drawn = audit.samples(catalog, expected, self.samples, f"{self.seed}-{number}")
+        audit.tick(drawn, nodes, shards, before, self.threshold).write.mode("overwrite").parquet(at)
+        events = self.spark.read.parquet(at)
+        audit.updated(before, events).write.mode("overwrite").parquet(f"{self.state}/scores-{number}")
+        return events
+
+    def start(self, ticks: DataFrame, checkpoint: str, every: str | None = None) -> StreamingQuery:
+        """A tick per micro-batch of any stream, such as Spark's rate source."""
+        return _by_batch(ticks, self.tick, checkpoint, every)
+
+
+def snapshots(ticks: DataFrame, look: Callable[[], DataFrame], out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """What look gives at each micro-batch, such as catalog.statistics, as JSON lines in a folder per tick."""
+    return _by_batch(ticks, lambda number: reports.as_json(look()).write.mode("overwrite").text(f"{out}/tick={number}"), checkpoint, every)

@@ -194,3 +194,81 @@ def test_stream_windows(spark, sf_dir, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.table("days").agg(F.sum("n")).first()[0] == log.count()
+
+
+def test_stream_auditor(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from fragmenta.operators import placement, store
+
+    catalog = spark.createDataFrame([(f"p{i}", i, 1, 2) for i in range(20)], "path string, object_id long, channels int, nlayers int")
+    expected = catalog.select("object_id", F.lit(0).alias("channel"), F.lit(0).alias("layer"), F.explode(F.expr("sequence(0L, 2L)")).alias("idx"))
+    expected = expected.withColumn("payload", F.encode(F.concat_ws("-", F.col("object_id").cast("string"), F.col("idx").cast("string")), "utf-8")).withColumn("hash", store.content_hash(F.col("payload")))
+    nodes = spark.createDataFrame([(i, i == 0) for i in range(3)], "node int, admin_killed boolean")
+    shards = store.corrupted(placement.rendezvous_place(expected, nodes), F.col("node") == 1)
+    spark.createDataFrame([(1,)], "x int").write.parquet(f"{tmp_path}/ticks")
+    auditor = stream.Auditor(spark, f"{tmp_path}/state", catalog, expected, nodes, shards, samples=60)
+    auditor.start(spark.readStream.schema("x int").parquet(f"{tmp_path}/ticks"), f"{tmp_path}/checkpoint").awaitTermination(120)
+    first = auditor.scores(0).toPandas().set_index("node").score
+    events = auditor.tick(1).collect()
+    # The second layer has no fragments, so draws that meet it are spent.
+    assert 10 < len(events) < 50
+    assert {(e.node, e.outcome) for e in events} == {(0, "Unreachable"), (1, "HashMismatch"), (2, "Pass")}
+    for node in range(3):
+        score = first[node]
+        for e in sorted((e for e in events if e.node == node), key=lambda e: e.draw):
+            score = 0.2 * (e.outcome == "Pass") + 0.8 * score
+            assert abs(score - e.score_after) < 1e-12 and e.low_score == (score < 0.5)
+    assert auditor.tick(1).orderBy("draw").collect() == sorted(events, key=lambda e: e.draw)
+
+
+def test_stream_snapshots(spark, tmp_path):
+    spark.createDataFrame([(1,)], "x int").write.parquet(f"{tmp_path}/ticks")
+    look = lambda: spark.createDataFrame([(1, "a")], "n int, s string")
+    stream.snapshots(spark.readStream.schema("x int").parquet(f"{tmp_path}/ticks"), look, f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination(120)
+    assert [r.value for r in spark.read.text(f"{tmp_path}/out").select("value").collect()] == ['{"n":1,"s":"a"}']
+
+
+def test_long_logs_keep_their_scores(spark):
+    from fragmenta.operators import audit
+
+    ok = [(i * i) % 7 < 4 for i in range(2000)]
+    rows = spark.createDataFrame([(i, 1, x) for i, x in enumerate(ok)], "seq int, node int, success boolean")
+    score, want = 1.0, []
+    for x in ok:
+        score = 0.2 * x + 0.8 * score
+        want.append(score)
+    found = [r.score_after for r in audit.scores_after(rows, ["seq"]).orderBy("seq").collect()]
+    assert max(abs(a - b) for a, b in zip(found, want)) < 1e-12
+
+
+def test_placement_without_and_beyond_few_nodes(spark, monkeypatch):
+    from fragmenta.operators import placement
+
+    keys = spark.createDataFrame([(i, 0, 0, i % 3) for i in range(200)], "object_id long, channel int, layer int, idx long")
+    nodes = spark.createDataFrame([(i * 3,) for i in range(20)], "node int")
+    none = nodes.filter("node < 0")
+    few = [sorted(map(tuple, f.collect())) for f in (placement.rendezvous_place(keys, nodes), placement.round_robin_place(keys, 60, nodes))]
+    assert placement.rendezvous_place(keys, none).isEmpty() and placement.round_robin_place(keys, 60, none).isEmpty()
+    monkeypatch.setattr(placement, "MOST_NODES", 5)
+    assert [sorted(map(tuple, f.collect())) for f in (placement.rendezvous_place(keys, nodes), placement.round_robin_place(keys, 60, nodes))] == few
+
+
+def test_manifest_refuses_broken_records():
+    import pytest
+
+    from fragmenta.sources import manifests
+    from fragmenta.sources.records import BadRecord
+
+    row = dict(object_id=-5, k=16, nlayers=1, channels=1, width=3, height=4, levels=3, placement="zone_aware", n_per_layer=[2], sym_len=[9], positions=[[0, 5]], nodes=["a:1"], zones=[2], data_cid=bytes(32), merkle_root=bytes(32),
+               shard_hashes=[[[bytes(32)]]], kind="directory", content_type="é", chunk_lens=[1], audio_sample_rate=8000, text_minhash=[7])
+    data = manifests.encode(row)
+    assert manifests.decode(data) == row == manifests.decode(manifests.encode(row, manifests.LEGACY))
+    for bad in (b"", data[:-1], b"x" + data, data[:7 + 8 + 2 + 1] ):
+        with pytest.raises(BadRecord):
+            manifests.decode(bad)
+    place = len(manifests.MAGIC) + 8 + 2 + 1 + 1 + 4 + 4 + 1
+    with pytest.raises(BadRecord):
+        manifests.decode(data[:place] + b"\x09" + data[place + 1 :])
+    with pytest.raises(BadRecord):
+        manifests.encode(row | {"zones": []})
