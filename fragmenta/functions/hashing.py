@@ -81,10 +81,16 @@ def merkle_root(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
-@F.pandas_udf(T.StringType())
-def merkle_root_hex(leaves: pd.Series) -> pd.Series:
-    """Root over an ordered array of hex hashes."""
-    return leaves.map(lambda xs: merkle_root([bytes.fromhex(x) for x in xs]).hex())
+def merkle_root_hex(leaves: Column) -> Column:
+    """Root over an ordered array of hex hashes, level by level; null for a null array."""
+
+    def level(a: Column) -> Column:
+        both = lambda i: F.concat(F.unhex(F.get(a, 2 * i)), F.unhex(F.coalesce(F.get(a, 2 * i + 1), F.get(a, 2 * i))))
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / 2).cast("int")), lambda i: sha256_hex(tag("pair"), both(i)))
+
+    levels = F.sequence(F.lit(1), F.greatest(F.ceil(F.log2(F.size(leaves))).cast("int"), F.lit(1)))
+    root = F.aggregate(levels, leaves, lambda a, _: F.when(F.size(a) > 1, level(a)).otherwise(a))
+    return F.when(F.size(leaves) == 0, "00" * 32).when(leaves.isNotNull(), F.get(root, F.lit(0)))
 
 
 def fnv1a(data: bytes) -> int:

@@ -16,24 +16,34 @@ def empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
+def _files(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    at = lambda x: jvm.org.apache.hadoop.fs.Path(x)
+    return at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A stored table, or an empty one where nothing is stored yet."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-    return spark.read.schema(schema).parquet(path) if there else empty(spark, schema)
+    """A stored table, or an empty one where nothing is stored yet. While a new one is being put in its place, or was not because the writer died, the old one counts."""
+    fs, at = _files(spark, path)
+    for there in (path, f"{path}.old", path):  # the new one may come, and the old one go, between the first two looks
+        if fs.exists(at(there)):
+            return spark.read.schema(schema).parquet(there)
+    return empty(spark, schema)
 
 
 def write_atomic(df: DataFrame, path: str) -> None:
-    """Writes beside the table, then puts the new folder in its place; readers see the old or the new one."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    at = lambda x: jvm.org.apache.hadoop.fs.Path(x)
-    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    """Writes beside the table, then puts the new folder in its place; read_or_empty finds the old or the new one whenever the writer is stopped.
+
+    One writer at a time. What reads the old table's files while they go has to be run again.
+    """
+    fs, at = _files(df.sparkSession, path)
     new, old = f"{path}.new", f"{path}.old"
     df.write.mode("overwrite").parquet(new)
-    fs.delete(at(old), True)
-    if fs.exists(at(path)) and not fs.rename(at(path), at(old)):
-        raise OSError(f"can't move {path}")
+    if fs.exists(at(path)):
+        # Without the table itself, the old one is the only copy and stays.
+        fs.delete(at(old), True)
+        if not fs.rename(at(path), at(old)):
+            raise OSError(f"can't move {path}")
     if not fs.rename(at(new), at(path)):
         raise OSError(f"can't move {new}")
     fs.delete(at(old), True)

@@ -272,3 +272,26 @@ def test_manifest_refuses_broken_records():
         manifests.decode(data[:place] + b"\x09" + data[place + 1 :])
     with pytest.raises(BadRecord):
         manifests.encode(row | {"zones": []})
+
+
+def test_store_survives_a_writer_that_dies(spark, tmp_path):
+    path = f"{tmp_path}/table"
+    one = lambda n: spark.createDataFrame([(n,)], "n int")
+    tables.write_atomic(one(1), path)
+    (tmp_path / "table").rename(tmp_path / "table.old")  # stopped between the two moves
+    assert tables.read_or_empty(spark, path, "n int").first().n == 1
+    one(2).write.parquet(f"{path}.new")
+    tables.write_atomic(one(3), path)
+    assert tables.read_or_empty(spark, path, "n int").first().n == 3
+    assert not (tmp_path / "table.old").exists()
+
+
+def test_merkle_roots_of_any_number_of_leaves(spark):
+    from pyspark.sql import functions as F
+
+    from fragmenta.functions import hashing
+
+    sets = [[bytes([i]) * 32 for i in range(n)] for n in (0, 1, 2, 3, 5, 8, 13, 64)]
+    rows = spark.createDataFrame([(n, [x.hex() for x in xs]) for n, xs in enumerate(sets)] + [(-1, None)], "n int, xs array<string>")
+    found = {r.n: r.root for r in rows.select("n", hashing.merkle_root_hex(F.col("xs")).alias("root")).collect()}
+    assert found == {n: hashing.merkle_root(xs).hex() for n, xs in enumerate(sets)} | {-1: None}
