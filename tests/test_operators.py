@@ -295,3 +295,25 @@ def test_merkle_roots_of_any_number_of_leaves(spark):
     rows = spark.createDataFrame([(n, [x.hex() for x in xs]) for n, xs in enumerate(sets)] + [(-1, None)], "n int, xs array<string>")
     found = {r.n: r.root for r in rows.select("n", hashing.merkle_root_hex(F.col("xs")).alias("root")).collect()}
     assert found == {n: hashing.merkle_root(xs).hex() for n, xs in enumerate(sets)} | {-1: None}
+
+
+def test_added_node_takes_its_share(spark):
+    from pyspark.sql import functions as F
+
+    from fragmenta.functions import hashing
+    from fragmenta.operators import coding, placement, repair
+
+    texts = spark.createDataFrame([(i, "some words of a text " * (i + 1), i) for i in range(6)], "object_id long, text string, seed long")
+    coded = coding.encode_texts(texts).withColumns({"channel": F.lit(0), "layer": F.lit(0), "idx": F.col("idx").cast("long"), "hash": hashing.shard_hash(F.col("coeffs"), F.col("payload"))})
+    nodes = spark.createDataFrame([(i, f"n{i}", 0, False) for i in range(4)], "node int, addr string, zone smallint, admin_killed boolean")
+    shards = placement.rendezvous_place(coded, nodes)
+    more = repair.add_node(nodes, 4, "n4", 1)
+    keys = coded.select("object_id", "channel", "layer", "idx")
+    made = repair.rebalanced(shards, keys, coded, more, 4)
+    due = placement.rendezvous_place(keys, more).filter("node = 4").groupBy("object_id").count()
+    assert sorted(map(tuple, made.groupBy("object_id").count().collect())) == sorted(map(tuple, due.collect())) != []
+    # Mixed fragments stand in for as many of the others.
+    some = made.groupBy("object_id").agg(F.count("*").alias("n"))
+    left = coded.join(some, "object_id").filter("idx >= least(n, 8)").select("object_id", "channel", "layer", F.col("idx").cast("int").alias("idx"), "coeffs", "payload")
+    both = left.unionByName(made.select("object_id", "channel", "layer", F.lit(99).alias("idx"), "coeffs", "payload"))
+    assert {r.data is not None for r in coding.decode_layers(both).collect()} == {True}
