@@ -1,4 +1,4 @@
-"""K-of-N escrow: secrets split into coded shares and recovered from enough of them. The first K shares hold the data in the clear."""
+"""K-of-N escrow: secrets split into coded shares and recovered from any K of them. The first K shares hold the data in the clear."""
 
 from __future__ import annotations
 
@@ -10,9 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.galois import MUL, combine, inverse
 from ..functions.rng import XorShift
 from ..schema import MOST_SHARES, SHARES, TAG
-from .coding import decode, encode, split_symbols
+from .coding import decode, split_symbols
 
 
 def identity(k: int, n: int, mime: str, data: bytes) -> tuple[bytes, int]:
@@ -21,6 +22,20 @@ def identity(k: int, n: int, mime: str, data: bytes) -> tuple[bytes, int]:
     return h[:16], int.from_bytes(h[16:24], "big")
 
 
+def draw(k: int, n: int, rng: XorShift) -> np.ndarray:
+    """Coefficients of n <= 256 shares of which any k are independent: unit vectors, then a Cauchy matrix at drawn points with drawn factors."""
+    points = list(range(256))
+    for i in range(n):
+        j = i + rng.byte() % (256 - i)
+        points[i], points[j] = points[j], points[i]
+    factor = np.array([1 + rng.byte() % 255 for _ in range(n)])
+    out = np.zeros((n, k), np.uint8)
+    out[range(k), range(k)] = 1
+    for i in range(k, n):
+        out[i] = [MUL[MUL[factor[i], factor[j]], inverse(points[i] ^ points[j])] for j in range(k)]
+    return out
+
+
 def split(secrets: DataFrame, k: int, n: int) -> DataFrame:
     """n shares of each secret (data, content_type, filename), any row to n rows."""
     if not 1 <= k <= n <= MOST_SHARES:
@@ -30,7 +45,8 @@ def split(secrets: DataFrame, k: int, n: int) -> DataFrame:
         for batch in batches:
             for data, mime, name in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 escrow, seed = identity(k, n, mime or "", data)
-                coeffs, payload = encode(split_symbols(data, k), n, XorShift(seed))
+                coeffs = draw(k, n, XorShift(seed))
+                payload = combine(coeffs, split_symbols(data, k))
                 rows = [(escrow, i, n, k, len(data), mime, name, c.tobytes(), p.tobytes()) for i, (c, p) in enumerate(zip(coeffs, payload))]
                 kinds = (pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[x.split()[0] for x in SHARES.split(", ")])

@@ -1,6 +1,7 @@
 """Known values and algebraic laws of the pure functions."""
 
 import hashlib
+import itertools
 
 import numpy as np
 import pytest
@@ -178,3 +179,14 @@ def test_escrow_errors(spark):
     shares = escrow.split(spark.createDataFrame([(b"seed phrase", "t", "f")], "data binary, content_type string, filename string"), 3, 5)
     assert bytes(escrow.recover(shares.unionByName(shares)).first().data) == b"seed phrase"
     assert escrow.recover(shares.filter("shard_idx < 2")).first().error == "NotEnough"
+
+
+def test_any_shares_recover(spark):
+    for k, n in ((1, 4), (3, 5), (4, 7), (2, 64)):
+        for seed in range(5):
+            coeffs = escrow.draw(k, n, XorShift(seed))
+            for some in itertools.islice(itertools.combinations(range(n), k), 60):
+                assert len(galois.eliminate(coeffs[list(some)], np.zeros((k, 1), np.uint8))[2]) == k
+    secrets = spark.range(1000).selectExpr("encode('secret ' || id, 'utf-8') AS data", "'t' AS content_type", "'f' AS filename")
+    found = escrow.recover(escrow.split(secrets, 3, 5).filter("shard_idx >= 2")).collect()
+    assert all(r.error is None for r in found) and {bytes(r.data) for r in found} == {f"secret {i}".encode() for i in range(1000)}
