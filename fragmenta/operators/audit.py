@@ -66,11 +66,13 @@ def samples(catalog: DataFrame, expected: DataFrame, n: int, seed: int | str) ->
 
     An object is drawn first, then a channel and a layer, then one of the hashes expected (object_id, channel, layer, idx, hash; idx from 0 without gaps) there;
     a draw that meets a layer without any is spent. Objects are numbered by shares of a hash of their path: only shares that were drawn from are put in order.
+    Sizes of shares and the layers drawn, a row a draw at most, are collected at once, so that catalog is read twice and expected once.
     """
     dealt = catalog.select("path", "object_id", "channels", "nlayers").withColumn("part", F.substring(F.sha2("path", 256), 1, DEALT))
     w = Window.orderBy("part")  # at most 16 ** DEALT rows
-    parts = dealt.groupBy("part").agg(F.count("*").alias("size")).withColumns({"upto": F.sum("size").over(w), "total": F.sum("size").over(Window.partitionBy())})
-    draws = catalog.sparkSession.range(n).withColumnRenamed("id", "draw")
+    spark = catalog.sparkSession
+    parts = spark.createDataFrame(dealt.groupBy("part").agg(F.count("*").alias("size")).collect(), "part string, size long").withColumns({"upto": F.sum("size").over(w), "total": F.sum("size").over(Window.partitionBy())})
+    draws = spark.range(n).withColumnRenamed("id", "draw")
     total = parts.select("total").limit(1)
     draws = draws.crossJoin(F.broadcast(total)).withColumn("at", F.pmod(_drawn(seed, "object"), F.col("total")))
     spot = draws.join(F.broadcast(parts.select("part", "size", "upto")), (F.col("at") < F.col("upto")) & (F.col("at") >= F.col("upto") - F.col("size")))
@@ -79,10 +81,12 @@ def samples(catalog: DataFrame, expected: DataFrame, n: int, seed: int | str) ->
     found = spot.join(ranked, ["part", "turn"]).filter("channels > 0 and nlayers > 0")
     found = found.withColumns({"channel": F.pmod(_drawn(seed, "channel"), F.col("channels")).cast("int"), "layer": F.pmod(_drawn(seed, "layer"), F.col("nlayers")).cast("int")})
     key = ["object_id", "channel", "layer"]
+    types = "draw long, path string, object_id long, channel int, layer int"
+    found = spark.createDataFrame(found.select("draw", "path", *key).collect(), types)
     held = expected.select(*key, "idx", "hash").join(F.broadcast(found.select(*key).distinct()), key, "left_semi")
-    sizes = held.groupBy(*key).agg(F.count("*").alias("n"))
-    found = found.select("draw", "path", *key).join(sizes, key).withColumn("idx", F.pmod(_drawn(seed, "hash"), F.col("n")))
-    return found.join(held.withColumn("idx", F.col("idx").cast("long")), [*key, "idx"]).select("draw", "path", *key, "idx", "hash")
+    held = held.withColumns({"idx": F.col("idx").cast("long"), "n": F.count("*").over(Window.partitionBy(*key))})
+    out = held.join(F.broadcast(found), key).filter(F.col("idx") == F.pmod(_drawn(seed, "hash"), F.col("n")))
+    return out.select("draw", "path", *key, "idx", "hash")
 
 
 def tick(drawn: DataFrame, nodes: DataFrame, shards: DataFrame, scores: DataFrame, threshold: float = THRESHOLD, alpha: float = ALPHA, first: float = FIRST_SCORE) -> DataFrame:

@@ -37,3 +37,15 @@ def test_entry_imports(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert len(entry.entry(spark).columns) == 2
+
+
+def test_tick_places_only_layers_that_were_drawn(spark, sf_dir, monkeypatch):
+    from fragmenta.operators import audit, placement
+    from fragmenta.plans import store
+
+    placed = []
+    place = placement.rendezvous_place
+    monkeypatch.setattr(placement, "rendezvous_place", lambda keys, live: placed.append(keys) or place(keys, live))
+    monkeypatch.setattr(store, "_drawn", lambda s, d: audit.samples(store._orders(s, d), store._expected(s, d), 20, store.SEED))
+    store.auditor_tick(spark, sf_dir)
+    assert len(placed) == 1 and 0 < placed[0].count() < 200
