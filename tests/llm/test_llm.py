@@ -148,6 +148,49 @@ def test_passages_of_a_large_group(spark):
     assert {(100 + k, 200 + k) for k in range(6)} <= got
 
 
+def test_passages_leave_no_shuffle_files(spark):
+    """What a step has shuffled goes with it; else it stays on disk until the driver collects its garbage."""
+    import gc
+    import time
+
+    def files():
+        for _ in range(40):
+            blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ")
+            if not re.search(r"shuffle_\d+_\d+_\d+\.?", blocks):
+                return 0
+            time.sleep(0.1)
+        return len(re.findall(r"shuffle_\d+_\d+_\d+", blocks))
+
+    gc.collect()
+    spark._jvm.System.gc()
+    texts = edited_chain(np.random.default_rng(13), 70, range(8))
+    docs, before = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string"), files()
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    held = spark.conf.get(key, None)
+    found = substring_dedup.repeated_passages(docs)
+    assert files() <= before and spark.conf.get(key, None) == held
+    assert {r.doc_id for r in found.collect()} == set(texts)
+
+
+def test_passages_meet_once(spark):
+    """Windows of two documents meet once, by whichever value; who has met all of its value doesn't ask."""
+    rows = [(1, d, 0, b"", 1, 4, 4) for d in (1, 2, 3, 4)] + [(2, d, 1, b"", 2, 3, 2) for d in (2, 3)]
+    rest = spark.createDataFrame(rows, "key long, doc_id long, f int, w binary, lo long, hi long, n long")
+    met = sorted((r.doc_id, r.other, r.f) for r in substring_dedup.first_met(rest).collect())
+    assert met == [(2, 1, 0), (3, 1, 0), (3, 2, 1), (4, 1, 0), (4, 2, 0), (4, 3, 0)]
+    assert sorted((r.key, r.doc_id) for r in rest.filter(substring_dedup._OPEN).collect()) == [(1, 2), (1, 3)]
+
+
+def test_alike():
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        a = rng.integers(0, 60, 80).astype(np.uint32)
+        b = np.concatenate([a[:30], rng.integers(60, 90, 6).astype(np.uint32), a[30:]])
+        inter, union = len(np.intersect1d(a, b)), len(np.union1d(a, b))
+        assert abs(substring_dedup._alike(a, b) - inter / union) < 1e-12
+        assert (substring_dedup._within(a, np.unique(b)) == np.isin(a, b)).all()
+
+
 # 2. Near-duplicates
 
 
