@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from .common import materialize, slices
+from .common import free, materialize, slices, without_shuffle_files
 from .graph import components
 from .shingles import run_hashes, word_hashes
 
@@ -84,6 +84,15 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, k: int =
     version; their links are its links. Rows without doc_id link nothing: component_id is null and kept true. Repeated rows come out as often. Other columns
     are not read.
     """
+    # The result is put together afterwards, so it may be run more than once.
+    with without_shuffle_files(docs.sparkSession):
+        rows, whole = _reached(docs, words, percent, k, agree, block)
+    out = rows.select("doc_id", "n_shingles").join(whole.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(True)).alias("kept"))
+
+
+def _reached(docs: DataFrame, words: int, percent: int, k: int, agree: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """The sketches of all rows, and (node, component) of the documents that have links. Tables go as soon as no later step reads them."""
     rows = materialize(shingle_sets(docs, words, k).withColumnRenamed("shingles", "sketch"), "sketches")
     usable = rows.filter("n_shingles > 0 and doc_id is not null")
     # The sketch follows from the set, so any row's will do; the mark finds one row of the set again.
@@ -98,8 +107,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, k: int =
     # What no other node holds comes first in the order, so it uses up places.
     places = F.col("z") - F.ceil(F.lit(agree) * F.col("z")) + 1 - (F.col("z") - F.col("common"))
     lists = materialize(shared.filter(F.col("place") <= places).select("value", "sig", "n", "center"), "lists")
+    free(counts)
     hubs = materialize(lists.groupBy("value").agg(F.max(F.struct("center", "n", "sig")).alias("h")).select("value", F.col("h.sig").alias("hub"), F.col("h.n").alias("hub_n")), "hubs")
     members = materialize(lists.join(hubs, "value").filter("sig <> hub").select("hub", "sig", "n", "hub_n").distinct(), "hub_members")
+    free(lists, hubs)
 
     # Against the hub: sizes, then the union sketch, then the full sets.
     near = members.filter(F.expr(f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)")).select("hub", "sig")
@@ -115,8 +126,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, k: int =
     near = materialize(near.select("hub", "sig", "sketch", "hub_sketch").mapInArrow(estimated, "hub binary, sig binary"), "estimated")
     wanted = members.select("sig").union(members.select("hub")).distinct().join(nodes.select("sig", "mark", "node", "n"), "sig")
     # One row for each set is read again; the filter keeps most others from it, so that texts stay where they are, and the join the rest.
+    # A set has one mark here, so rows that repeat are told by what the join has dealt them by: sets are shuffled once.
     again = shingle_sets(docs, words, None, mark_filter(wanted.select(F.col("mark").alias("_mark"))))
-    sets = again.filter("doc_id is not null").select("sig", "mark", "shingles").join(wanted.select("sig", "mark"), ["sig", "mark"]).dropDuplicates(["sig"]).drop("mark")
+    sets = again.filter("doc_id is not null").select("sig", "mark", "shingles").join(wanted.select("sig", "mark"), ["sig", "mark"]).dropDuplicates(["sig", "mark"]).drop("mark")
     sets = materialize(sets, "full_sets")
 
     def confirmed(batches):
@@ -133,6 +145,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, k: int =
 
     pairs = near.join(sets, "sig").join(sets.select(F.col("sig").alias("hub"), F.col("shingles").alias("hub_set")), "hub").select("hub", "sig", "shingles", "hub_set")
     links = materialize(pairs.mapInArrow(confirmed, "hub binary, sig binary"), "links")
+    free(near)
     node_of = nodes.select("sig", "node")
     edges = lambda x: x.join(node_of, "sig").join(node_of.select(F.col("sig").alias("hub"), F.col("node").alias("hub_node")), "hub").select(F.col("node").alias("a"), F.col("hub_node").alias("b"))
     # Texts of one set share it, and so do versions of one document.
@@ -143,9 +156,11 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, k: int =
     # What is left: members apart from their hub, against all members of the hub that are in another component.
     at = lambda df, name, out: df.join(node_of.select(F.col("sig").alias(name), F.col("node").alias(f"{out}_node")), name).join(part.select(F.col("node").alias(f"{out}_node"), F.col("component").alias(f"{out}_part")), f"{out}_node", "left").withColumn(out, F.coalesce(f"{out}_part", f"{out}_node")).drop(f"{out}_node", f"{out}_part")
     placed = materialize(at(at(members.select("hub", "sig", "n"), "sig", "own"), "hub", "theirs"), "placed")
+    free(members, part)
     sizes = placed.groupBy("hub").agg(F.count("*").alias("all"), F.sum((F.col("own") != F.col("theirs")).cast("int")).alias("apart")).filter("apart > 0 and all > 1")
     sizes = materialize(sizes.select("hub", F.ceil(F.col("apart") / block).cast("int").alias("la"), F.ceil(F.col("all") / block).cast("int").alias("lb")), "apart")
     rest = materialize(placed.join(sizes, "hub"), "rest")
+    free(placed, sizes)
     deal = lambda n: F.pmod(F.xxhash64("sig"), F.col(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = rest.filter("own <> theirs").select("hub", deal("la").alias("x"), spread("lb").alias("y"), F.lit(True).alias("asks"), "sig", "own")
@@ -190,8 +205,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, k: int =
                     out.append((sigs[r[j]], sigs[l[i]]))
         return pa.table({"hub": pa.array([x for x, _ in out], pa.binary()), "sig": pa.array([x for _, x in out], pa.binary())})
 
-    more = cells.groupBy("hub", "x", "y").applyInArrow(compared, "hub binary, sig binary")
-    whole = components(first.unionByName(edges(materialize(more, "more_links"))).unionByName(same))
-    whole = materialize(whole, "components")
-    out = rows.select("doc_id", "n_shingles").join(whole.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(True)).alias("kept"))
+    more = materialize(cells.groupBy("hub", "x", "y").applyInArrow(compared, "hub binary, sig binary"), "more_links")
+    free(rest, sets)
+    whole = materialize(components(first.unionByName(edges(more)).unionByName(same)), "components")
+    free(nodes, links, more)
+    return rows, whole
