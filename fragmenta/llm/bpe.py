@@ -21,12 +21,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import text_slices
 
 # How byte-level BPE splits text into words; white space as Unicode has it.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?![^\p{White_Space}])|\p{White_Space}+")
 #: A worker keeps the encodings of so many words, and of as many that were used before these; and so many pairs.
-MOST_WORDS, MOST_PAIRS = 300_000, 1_000_000
+MOST_WORDS, MOST_PAIRS = 100_000, 1_000_000
 
 
 def _letters() -> dict[str, int]:
@@ -193,9 +193,8 @@ def _map(docs: DataFrame, kinds: dict[str, T.DataType], make) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for a, b in slices(texts):
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *make(texts[a:b])], names=[*names, *kinds])
+            for a, b, texts in text_slices(batch.column(at)):
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *make(texts)], names=[*names, *kinds])
 
     return docs.mapInArrow(run, schema)
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_128_digest
 
-from .common import WS_BYTES, fresh, materialize
+from .common import WS_BYTES, fresh, materialize, text_slices
 
 
 def _key(line: bytes, min_chars: int) -> bytes | None:
@@ -62,22 +62,23 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> Data
 
     def kept(batches):
         for batch in batches:
-            texts, hot_of = batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()
-            n_lines, n_dropped, out = [], [], []
-            for text, drop in zip(texts, hot_of):
-                if not drop or not text:
-                    out.append(text or "")
-                    n_lines.append((text or "").count("\n") + 1)
-                    n_dropped.append(0)
-                    continue
-                drop = set(drop)
-                lines = text.encode().split(b"\n")
-                keep = [x for x in lines if (k := _key(x, min_chars)) is None or k not in drop]
-                out.append(b"\n".join(keep).decode())
-                n_lines.append(len(lines))
-                n_dropped.append(len(lines) - len(keep))
-            columns = [batch.column(i) if i != at else pa.array(out, pa.string()) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[*names, "n_lines", "n_dropped"])
+            for a, b, texts in text_slices(batch.column(at)):
+                part = batch.slice(a, b - a)
+                n_lines, n_dropped, out = [], [], []
+                for text, drop in zip(texts, part.column(len(names)).to_pylist()):
+                    if not drop or not text:
+                        out.append(text or "")
+                        n_lines.append((text or "").count("\n") + 1)
+                        n_dropped.append(0)
+                        continue
+                    drop = set(drop)
+                    lines = text.encode().split(b"\n")
+                    keep = [x for x in lines if (k := _key(x, min_chars)) is None or k not in drop]
+                    out.append(b"\n".join(keep).decode())
+                    n_lines.append(len(lines))
+                    n_dropped.append(len(lines) - len(keep))
+                columns = [part.column(i) if i != at else pa.array(out, pa.string()) for i in range(len(names))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[*names, "n_lines", "n_dropped"])
 
     fields = [T.StructField(f.name, f.dataType) for f in docs.schema]
     schema = T.StructType([*fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])

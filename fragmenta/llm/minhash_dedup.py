@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from .common import free, materialize, slices, without_shuffle_files
+from .common import free, materialize, text_slices, without_shuffle_files
 from .graph import components
 from .shingles import run_hashes, word_hashes
 
@@ -54,9 +54,9 @@ def shingle_sets(docs: DataFrame, words: int, most: int | None, wanted: np.ndarr
             if sent is not None:
                 spot = batch.column(2).to_numpy().view(np.uint64) & np.uint64((1 << FILTER) - 1)
                 batch = batch.take(pa.array(np.flatnonzero(sent.value[spot >> np.uint64(3)] >> (7 - (spot & np.uint64(7)).astype(np.uint8)) & 1)))
-            ids, texts, marks = batch.column(0), batch.column(1).to_pylist(), batch.column(2)
-            for a, b in slices(texts):
-                hashes, bounds = word_hashes(texts[a:b])
+            ids, marks = batch.column(0), batch.column(2)
+            for a, b, texts in text_slices(batch.column(1)):
+                hashes, bounds = word_hashes(texts)
                 sets = [np.unique(run_hashes(hashes[x:y], words)) for x, y in zip(bounds, bounds[1:])]
                 kept = [x[:most] for x in sets]
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, kept)]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.uint64), *kept]).view(np.int64)))

@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
-from .common import free
+from .common import free, text_slices
 from .sampling import Logistic, examples, labelled, measured
 
 BLOCK, DICTIONARY, LEVEL = 1024, 112 << 10, 3
@@ -107,7 +107,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     def run(batches):
         compressors = model.compressors() if model.calibrate else None
         for batch in batches:
-            found = np.clip(model.scores(batch.column(at).to_pylist(), compressors), 0.0, 1.0)
+            found = np.clip(np.concatenate([np.empty(0), *(model.scores(texts, compressors) for _, _, texts in text_slices(batch.column(at)))]), 0.0, 1.0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64()), pa.array((found >= threshold).astype("i4"))], names=[*names, "score", "predicted"])
 
     fields = [T.StructField(f.name, f.dataType) for f in docs.schema]

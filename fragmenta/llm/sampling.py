@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, slices
+from .common import materialize, text_slices
 
 
 #: Characters of a piece of a text that is longer than the bound.
@@ -67,9 +67,9 @@ def measured(sample: DataFrame, measure) -> tuple[np.ndarray, np.ndarray]:
     def run(batches):
         for batch in batches:
             *head, text = batch.columns
-            texts, x = text.to_pylist(), []
-            for a, b in slices(texts):
-                x += measure(texts[a:b]).tolist()
+            x = []
+            for _, _, texts in text_slices(text):
+                x += measure(texts).tolist()
             yield pa.RecordBatch.from_arrays([*head, pa.array(x, pa.list_(pa.float64()))], names=schema.names)
 
     rows = sample.filter("kind = 'mixed'").select("o", "doc_id", "y", "text").mapInArrow(run, schema).collect()

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
-from .common import free, slices
+from .common import free, text_slices
 from .sampling import Logistic, examples, labelled, measured
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -224,9 +224,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, spans: bool = T
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for a, b in slices(texts):
-                part = texts[a:b]
+            for a, b, part in text_slices(batch.column(at)):
                 if model.tagger is None:
                     p, found = [np.empty(0)] * (b - a), np.full(b - a, model.share)
                 else:

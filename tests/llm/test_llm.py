@@ -1,17 +1,19 @@
 """The operators against brute force and SQL, on small tables and on odd rows."""
 
 import hashlib
+import os
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from oracle import agree, connect
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fragmenta.llm import bpe, cover_tree, graph, minhash_dedup, mixing, quality, queries, shingles, substring_dedup, toxicity, warc
-from fragmenta.llm.common import held_out
+from fragmenta.llm.common import held_out, text_slices
 from fragmenta.llm.exact_dedup import dedup_exact
 from fragmenta.llm.line_dedup import dedup_lines
 from fragmenta.llm.minhash_dedup import near_duplicates
@@ -191,6 +193,41 @@ def test_alike():
         assert (substring_dedup._within(a, np.unique(b)) == np.isin(a, b)).all()
 
 
+def test_texts_are_made_a_slice_at_a_time():
+    """A worker holds the strings of a slice, not of a whole batch, and keeps little once a batch is done."""
+    import subprocess
+    import sys
+
+    column = pa.array([None, "a" * 30, "é" * 20, "", "b" * 200, "c"])
+    assert [(a, b, texts) for a, b, texts in text_slices(column.slice(1), 60)] == [(0, 1, ["a" * 30]), (1, 3, ["é" * 20, ""]), (3, 4, ["b" * 200]), (4, 5, ["c"])]
+    assert [x[:2] for x in text_slices(column, 75)] == [(0, 4), (4, 5), (5, 6)] and list(text_slices(column.slice(0, 0))) == []
+    code = """
+import numpy as np, pyarrow as pa
+from fragmenta.llm import quality
+
+class Docs:
+    columns, schema = ["doc_id", "text"], []
+    drop = lambda self, *names: self
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+def held(key):
+    return next(int(x.split()[1]) / 1e3 for x in open("/proc/self/status") if x.startswith(key))
+
+docs = quality.score(Docs(), quality.Model())
+batch = pa.RecordBatch.from_arrays([pa.array(range(20000)), pa.array(("x" * 3000 for _ in range(20000)), pa.string())], names=docs.columns)
+pa.default_memory_pool().release_unused()
+open("/proc/self/clear_refs", "w").write("5")
+before = held("VmRSS")
+rows = sum(x.num_rows for x in docs.run(iter([batch])))
+assert rows == 20000
+print(held("VmHWM") - before)
+"""
+    more = float(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, env={**os.environ, "PYTHONPATH": os.pathsep.join(sys.path)}).stdout)
+    assert more < 40  # MB, of a batch of 60
+
+
 # 2. Near-duplicates
 
 
