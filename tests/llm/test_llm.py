@@ -150,6 +150,28 @@ def test_passages_of_a_large_group(spark):
     assert {(100 + k, 200 + k) for k in range(6)} <= got
 
 
+def test_passages_cover(spark):
+    """Rows cover all words of a document's passages, with as few as do so: they grow with documents, not with pairs of them."""
+    rng = np.random.default_rng(15)
+    begin = rng.integers(0, 400, 300)
+    data = [(int(rng.integers(0, 6)), int(b), int(b + rng.integers(50, 90)), int(rng.integers(10, 99)), 0, 60, 0.9) for b in begin]
+    data += [(7, 0, 60, 1, 0, 60, 1.0), (7, 0, 60, 2, 0, 60, 1.0), (7, 60, 120, 3, 0, 60, 1.0), (7, 300, 350, 3, 0, 50, 1.0)]
+    rows = spark.createDataFrame(data, "doc_id long, begin int, end int, match_doc_id long, match_begin int, match_end int, similarity double")
+    found = [tuple(r) for r in substring_dedup.covering(rows).collect()]
+    assert set(found) <= set(data) and {x[:4] for x in found if x[0] == 7} == {(7, 0, 60, 1), (7, 60, 120, 3), (7, 300, 350, 3)}
+    cover = lambda xs, i: {k for x in xs if x[0] == i for k in range(x[1], x[2])}
+    for i in range(6):
+        own = sorted(x[1:3] for x in found if x[0] == i)
+        assert cover(found, i) == cover(data, i) and all(c[0] > a[1] for a, c in zip(own, own[2:]))
+    assert substring_dedup.covering(rows.filter("false")).count() == 0
+
+    fresh = lambda n: [f"t{x}" for x in rng.integers(0, 10**9, n)]
+    passage = fresh(80)
+    texts = {i: [*fresh(20), *passage, *fresh(20)] for i in range(40)}
+    found = substring_dedup.repeated_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in found} == {(i, 0) for i in texts} and len(found) == len(texts)
+
+
 def test_passages_leave_no_shuffle_files(spark):
     """What a step has shuffled goes with it; else it stays on disk until the driver collects its garbage."""
     import gc
